@@ -14,7 +14,7 @@ def utf8_column(name: str, alias: str = "body"):
     return F.col(name).cast("string").cast("binary").alias(alias)
 
 
-def map_rows(df: DataFrame, one_batch: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, one_batch: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
     """Apply a batch-to-batch function, slicing what Spark hands over so memory follows bytes and not rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

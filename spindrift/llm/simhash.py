@@ -183,3 +183,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def hex_digits(fp):
     """16 lower-case hex digits of a fingerprint column."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+def keep_one_each(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, that lead their component: one document of each group.
+
+    Rows without a doc_id stay only where none of their group has one.
+    """
+    near = materialize(near_duplicates(docs), "near")
+    leaders = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    leaders = materialize(leaders, "leaders").withColumnRenamed("doc_id", "_leader")
+    kept = docs.join(leaders, docs["doc_id"].cast("long").eqNullSafe(leaders["_leader"]), "left_semi")
+    if leaders.where("_rows > 1 and _leader is not null").isEmpty():
+        return kept
+    once = kept.where("doc_id is not null").dropDuplicates(["doc_id"])  # some documents were given twice
+    return once.unionByName(kept.where("doc_id is null"))
