@@ -41,7 +41,7 @@ from .suffixes import common_prefix, front_code, merge
 
 MATCH = 400
 GRAM = 80
-WIDE = 4096
+WIDE = 1 << 16  # windows of one anchor that a task may gather: 36 MB
 FEW = 64  # windows of an anchor that are compared in pairs
 RUN_BYTES = 24 << 20  # of windows that a task holds before it writes runs
 RANGES = 256  # least number of anchor ranges
