@@ -73,6 +73,7 @@ def anchors(text: bytes, match: int, gram: int) -> tuple[np.ndarray, np.ndarray,
         new = np.flatnonzero(np.r_[chosen[0] + at != last, chosen[1:] != chosen[:-1]])
         where.append(chosen[new] + at)
         first.append(new + at)
-        name.append(h[chosen[new]].view(np.int64))
+        # chosen hashes are small; mixed once more they are spread evenly
+        name.append((h[chosen[new]] * np.uint64(0x9FB21C651E98DF25) ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64))
         last = int(chosen[-1]) + at
     return np.concatenate(where), np.concatenate(first), np.concatenate(name)
