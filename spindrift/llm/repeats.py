@@ -57,22 +57,22 @@ def _name(window: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, body (null: empty) and key, 128 bits of the text's SHA-256."""
+def _keyed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, body (null: empty), key (128 bits of the text's SHA-256) and, as `rest`, the columns `carry`."""
     body = F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b""))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("body"))
+    more = [F.struct(*[docs[c] for c in carry]).alias("rest")] if carry else []
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("body"), *more)
     return out.withColumn("key", F.unhex(F.substring(F.sha2("body", 256), 1, 32)))
 
 
 def _anchor_names(docs: DataFrame, match: int, gram: int) -> DataFrame:
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names = [anchors(b, match, gram)[2] for b in batch.column(2).to_pylist()]
-        ends = np.cumsum([0, *map(len, names)])
-        flat = np.concatenate(names) if names else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "key", "names"])
+        pairs = [np.unique(anchors(b, match, gram)[2], return_counts=True) for b in batch.column(2).to_pylist()]
+        ends = pa.array(np.cumsum([0, *(len(p[0]) for p in pairs)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([p[k] for p in pairs]))) for k in range(2)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "key", "names", "times"])
 
-    return map_rows(docs.select("doc_id", "key", "body"), one, "doc_id long, key binary, names array<long>")
+    return map_rows(docs.select("doc_id", "key", "body"), one, "doc_id long, key binary, names array<long>, times array<long>")
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -87,9 +87,9 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-WINDOWS = f"kind string, key binary, start long, name {NAME}, anchor long, range int, shared array<int>, tails array<binary>, many array<boolean>, window binary, at int"
+WINDOWS = f"kind string, key binary, starts array<long>, name {NAME}, anchor long, range int, shared array<int>, tails array<binary>, many array<boolean>, window binary, at int"
 _ARROW = pa.schema(
-    [("kind", pa.string()), ("key", pa.binary()), ("start", pa.int64()), ("name", pa.struct([("x", pa.int64()), ("y", pa.int64())])), ("anchor", pa.int64()), ("range", pa.int32())]
+    [("kind", pa.string()), ("key", pa.binary()), ("starts", pa.list_(pa.int64())), ("name", pa.struct([("x", pa.int64()), ("y", pa.int64())])), ("anchor", pa.int64()), ("range", pa.int32())]
     + [("shared", pa.list_(pa.int32())), ("tails", pa.list_(pa.binary())), ("many", pa.list_(pa.bool_())), ("window", pa.binary()), ("at", pa.int32())]
 )
 
@@ -136,13 +136,13 @@ def _windows(texts: DataFrame, match: int, gram: int, wide: int, ranges: int) ->
                 counts = {r["name"]: r["n"] for r in found}
                 where, first, names = (a.tolist() for a in anchors(body, match, gram))
                 first.append(len(body) - match + 1)
+                mine: dict[tuple[int, int], list[int]] = defaultdict(list)
                 for k, name in enumerate(names):
                     if name not in counts:
                         continue
                     lo, hi = first[k], first[k + 1] + match - 1
                     window, at = body[lo:hi], where[k] - lo
-                    x, y = _name(window)
-                    owners.append({"kind": "owner", "key": key, "start": lo, "name": {"x": x, "y": y}})
+                    mine[_name(window)].append(lo)
                     if counts[name] > wide:
                         if window not in broad:
                             held += len(window)
@@ -152,6 +152,7 @@ def _windows(texts: DataFrame, match: int, gram: int, wide: int, ranges: int) ->
                         if k2 not in narrow:
                             held += len(k2)
                         narrow[k2] = k2 in narrow
+                owners += [{"kind": "owner", "key": key, "starts": starts, "name": {"x": x, "y": y}} for (x, y), starts in mine.items()]
                 if len(owners) > 20_000:
                     yield _rows(owners)
                     owners = []
@@ -257,32 +258,35 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, gram: int = GRAM, wide:
     """(keyed documents, per text: key, copies, lists of spans to remove; texts without any may be missing)."""
     keyed = _keyed(docs)
     named = materialize(_anchor_names(keyed, match, gram), "anchors")
-    by_text = materialize(named.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("lead"), F.max("names").alias("names")), "texts")
-    each = by_text.select("key", F.explode("names").alias("name"))
-    often = each.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
+    by_text = materialize(named.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("lead"), F.max(F.struct("names", "times")).alias("anchors")), "texts")
+    each = by_text.select("key", F.inline(F.arrays_zip("anchors.names", "anchors.times"))).toDF("key", "name", "times")
+    # stored, so that both sides of the join are plain shuffles, which can be split where a name is hot
+    often = materialize(each.groupBy("name").agg(F.sum("times").alias("n")).where("n > 1"), "often")
     found = each.join(often, "name").groupBy("key").agg(F.collect_set(F.struct("name", "n")).alias("found"))
     sought = found.join(by_text.select("key", "lead"), "key")
     bodies = keyed.join(sought, "key").where("doc_id <=> lead").select("key", "body", "found")
-    size = by_text.agg(F.sum(F.size("names"))).first()[0] or 0
+    size = by_text.agg(F.sum(F.size("anchors.names"))).first()[0] or 0
     ranges = max(RANGES, -(-size // RANGE_ROWS))
     windows = materialize(_windows(bodies, match, gram, wide, ranges), "windows")
     runs = windows.where("kind = 'run'").select("range", "shared", "tails", "many")
     merged = runs.groupBy("range").applyInArrow(_merge_range(match), f"x long, y long, spans {SPANS}")
     outcome = merged.select(F.struct("x", "y").alias("name"), "spans").unionByName(_wide_spans(windows.where("kind = 'wide'").select("name", "window", "at", "many"), match))
-    moved = F.transform("spans", lambda s: F.struct((s["lo"] + F.col("start")).alias("lo"), (s["hi"] + F.col("start")).alias("hi")))
-    owners = windows.where("kind = 'owner'").select("key", "start", "name")
+    moved = F.flatten(F.transform("starts", lambda at: F.transform("spans", lambda s: F.struct((s["lo"] + at).alias("lo"), (s["hi"] + at).alias("hi")))))
+    owners = windows.where("kind = 'owner'").select("key", "starts", "name")
     spans = owners.join(outcome, "name").select("key", moved.alias("spans")).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     per_text = by_text.select("key", "copies").join(spans, "key", "left").where("copies > 1 or spans is not null")
     return keyed, per_text
 
 
-def remove_repeats(docs: DataFrame, match: int = MATCH, gram: int = GRAM, wide: int = WIDE) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row."""
+def remove_repeats(docs: DataFrame, match: int = MATCH, gram: int = GRAM, wide: int = WIDE, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and the columns `carry`, as `rest`, of every row."""
     keyed, per_text = repeated_spans(docs, match, gram, wide)
+    if carry:
+        keyed = _keyed(docs, carry)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for doc_id, body, copies, spans in zip(*(c.to_pylist() for c in batch.columns)):
+        for doc_id, body, copies, spans in zip(*(batch.column(k).to_pylist() for k in range(4))):
             n = len(body)
             cut = [(0, n)] if n >= match and (copies or 1) > 1 else merge_spans([(s["lo"], s["hi"]) for s in spans or ()])
             kept, at = [], 0
@@ -292,7 +296,13 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, gram: int = GRAM, wide:
             kept.append(body[at:])
             rows.append((doc_id, n, sum(hi - lo for lo, hi in cut), len(cut), b"".join(kept)))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    joined = keyed.join(per_text, "key", "left").select("doc_id", "body", "copies", "spans")
-    return map_rows(joined, one, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+        more = [batch.column(4)] if carry else []
+        return pa.RecordBatch.from_arrays([*columns, *more], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "rest"][: 5 + len(more)])
+
+    columns = ["doc_id", "body", "copies", "spans", *(["rest"] if carry else [])]
+    joined = keyed.join(per_text, "key", "left").select(*columns)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    if carry:
+        schema += f", rest {keyed.schema['rest'].dataType.simpleString()}"
+    return map_rows(joined, one, schema)
