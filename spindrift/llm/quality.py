@@ -78,24 +78,33 @@ def features(c: dict[str, np.ndarray]) -> np.ndarray:
     return np.stack([c["n_symbols"] / chars, c["n_repeat_words"] / words, c["n_dup_lines"] / lines, chars / words, c["n_distinct"] / words, c["n_upper"] / chars, c["n_digits"] / chars, c["n_stops"] / chars, words / lines, np.log1p(c["n_words"])], 1)
 
 
+def sampled_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and quality of about FIT_ROWS labelled documents, all if there are no more."""
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("_quality"))
+    share = min(1.0, FIT_ROWS / max(1, known.count()))
+    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def fit_model(stats: DataFrame, labels: DataFrame) -> boosting.Forest | None:
-    """Fit on a bounded sample of labelled rows; None without labels."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("_quality"))
-    found = stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).toPandas()
+    """Fit on a bounded sample of labelled rows; None without labels of both kinds."""
+    found = stats.join(sampled_labels(labels), "doc_id").toPandas().sort_values(["doc_id", *COUNTS])
     if found["_quality"].nunique() < 2:
         return None
     x = features({k: found[k].to_numpy() for k in COUNTS})
     return boosting.fit(x, (found["_quality"] > 0).to_numpy(float), np.asarray(list(FEATURES.values())))
 
 
+def _verdict(c: dict[str, np.ndarray], model: boosting.Forest | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
+    score = np.ones(len(failed)) if model is None else model.probability(features(c))
+    return failed, score, ~failed & (score >= KEEP_FROM)
+
+
 def judge(stats: DataFrame, model: boosting.Forest | None) -> DataFrame:
     """Add base_failed, score and kept to a table of statistics."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in COUNTS}
-        failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
-        score = np.ones(batch.num_rows) if model is None else model.probability(features(c))
-        kept = ~failed & (score >= KEEP_FROM)
+        failed, score, kept = _verdict({k: batch.column(k).to_numpy(zero_copy_only=False) for k in COUNTS}, model)
         return pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", *COUNTS)), pa.array(failed), pa.array(score), pa.array(kept)], names=["doc_id", *COUNTS, "base_failed", "score", "kept"])
 
     return map_rows(stats, one, f"{STATS}, base_failed boolean, score double, kept boolean")
@@ -105,3 +114,16 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Statistics and verdict of every document."""
     stats = materialize(document_stats(docs), "stats")
     return judge(stats, fit_model(stats, labels))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text passes; texts are read once beside the fit."""
+    sample = docs.join(sampled_labels(labels).select("doc_id"), "doc_id", "left_semi")
+    model = fit_model(document_stats(sample), labels)
+    at = docs.columns.index("text")
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [count_text((t or "").encode()) for t in batch.column(at).to_pylist()]
+        return batch.filter(pa.array(_verdict({k: np.asarray(v) for k, v in zip(COUNTS, zip(*rows))}, model)[2]))
+
+    return map_rows(docs, one, docs.schema)
