@@ -1,0 +1,188 @@
+"""From matches in artefacts to observations: cleaning, resolving, filtering, classifying, services.
+
+All of it is column expressions over the matches; the only Python is the pass that finds them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import url as U
+from ..functions.classify import classify, guess_method
+from . import rules
+
+FANOUT = 2  # bases that a bare path is tried on
+BASES = 5  # base URLs harvested from an artefact
+COMMENTED = ["JavaScript", "InlineScript", "SourceMap", "CSS"]
+# fixed values: hosts that are named without being called
+NOISE_HOSTS = (
+    "www.w3.org schema.org www.schema.org purl.org creativecommons.org gmpg.org ogp.me xmlns.com docs.oasis-open.org opengis.net www.opengis.net "
+    "json-schema.org unpkg.com cdn.jsdelivr.net cdnjs.cloudflare.com fonts.googleapis.com fonts.gstatic.com www.googletagmanager.com "
+    "www.google-analytics.com connect.facebook.net github.com www.npmjs.com nodejs.org reactjs.org vuejs.org developer.mozilla.org stackoverflow.com "
+    "www.gnu.org apache.org www.apache.org tools.ietf.org www.ietf.org registry.npmjs.org"
+).split()
+_LICENCE = r"(?i)(licen[cs]e|copyright|@author|bugs?|issues?|changelog|readme|documentation)"
+_ARCHIVE = (
+    r"(?i)/(?:_rels|docprops|meta-inf|customxml|persons)/|/(?:xl|word|ppt|visio)/(?:media|theme|worksheets|drawings|charts|embeddings)?|/\[content_types\]\.xml$"
+    r"|/(?:workbook|sharedstrings|calcchain|styles|theme\d*|app|core|custom|document|presentation|settings|fonttable|webextension|metadata|person|manifest|content|meta)\.xml$"
+)
+
+OBSERVED = ["method", "url", "method_observed", "type", "source", "source_url", "evidence", "confidence", "status_code", "content_type", "params", "tags", "seq"]
+
+
+def is_noise(url: Column, evidence: Column) -> Column:
+    """Namespaces, licences, parts of office archives, infrastructure and binaries."""
+    path = U.part(url, 3)
+    return (
+        U.host_of(url).isin(NOISE_HOSTS)
+        | (F.coalesce(evidence, F.lit("")).rlike(_LICENCE) & ~F.lower(url).contains("/api"))
+        | path.rlike(_ARCHIVE)
+        | U.is_infrastructure(url)
+        | (U.is_binary(url) & ~url.contains("?"))
+    )
+
+
+def has_api_signal(url: Column) -> Column:
+    return U.any_of(F.lower(url), U.API_MARKERS)
+
+
+def base_urls(matches: DataFrame) -> DataFrame:
+    """artifact_id and bases: the first different absolute URLs among configuration values."""
+    value = U.clean_candidate(F.col("value"))
+    found = matches.where("extractor = 0 and rule like 'config:%'").withColumn("v", value).where("(v like 'http://%' or v like 'https://%') and instr(v, '${') = 0")
+    found = found.withColumn("base", U.normalize(F.regexp_replace("v", "/+$", ""))).where("base is not null").groupBy("artifact_id", "base").agg(F.min("ord").alias("ord"))
+    listed = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("ord", "base"))), 1, BASES), lambda b: b["base"])
+    return found.groupBy("artifact_id").agg(listed.alias("bases"))
+
+
+def _observation(m: DataFrame, url: Column, kind: Column, method: Column, observed: Column, confidence: Column, tags: Column, base: Column) -> DataFrame:
+    seq = F.struct(F.lit(2).alias("stage"), F.col("artifact_id").alias("artifact"), F.col("extractor").alias("extractor"), F.col("ord").alias("ord"), base.alias("base"))
+    none = lambda t: F.lit(None).cast(t)
+    return m.select(
+        method.alias("method"), url.alias("url"), observed.alias("method_observed"), kind.alias("type"), F.col("source_kind").alias("source"), F.col("source_url"),
+        F.coalesce(F.nullif(F.col("evidence"), F.lit("")), F.col("value")).alias("evidence"), confidence.alias("confidence"), none("int").alias("status_code"),
+        none("string").alias("content_type"), F.array().cast("array<string>").alias("params"), tags.alias("tags"), seq.alias("seq"),
+    )
+
+
+def from_matches(artifacts: DataFrame, matches: DataFrame) -> DataFrame:
+    """Observations of the general sweep: every match on its own artefact, and proven call sites on up to FANOUT bases."""
+    about = artifacts.select("artifact_id", F.col("url").alias("source_url"), "source_kind")
+    m = matches.where("extractor = 0").join(about, "artifact_id").join(base_urls(matches), "artifact_id", "left")
+    m = m.where(~(F.col("in_comment") & F.col("source_kind").isin(COMMENTED)))
+    m = m.withColumn("cand", U.clean_candidate(F.col("value"))).where(U.is_probably_url(F.col("cand"))).withColumn("cand", U.strip_placeholders(F.col("cand")))
+    fan = F.when(F.col("cand").startswith("/") & (F.col("confidence") == "high"), F.slice(F.coalesce("bases", F.array().cast("array<string>")), 1, FANOUT)).otherwise(F.array().cast("array<string>"))
+    first = U.absolutize(F.col("source_url"), F.col("cand"))
+    others = F.transform(fan, lambda b: U.absolutize(b, F.col("cand")))
+    m = m.withColumn("resolved", F.array_distinct(F.array_compact(F.concat(F.array(first), others))))
+    m = m.select("*", F.posexplode("resolved").alias("base", "full")).withColumn("norm", U.normalize(F.col("full")))
+    m = m.where("norm is not null").where(~is_noise(F.col("norm"), F.col("evidence")))
+    m = m.withColumn("kind", classify(F.col("norm"), F.col("rule")))
+    m = m.where(~((F.col("kind") == "Unknown") & (F.col("confidence") == "low") & ~has_api_signal(F.col("norm"))))
+    inferred = F.col("base") > 0
+    tags = F.concat(F.array(F.concat(F.lit("rule:"), F.col("rule"))), F.when(inferred, F.array(F.lit("base:inferred"))).otherwise(F.array().cast("array<string>")))
+    return _observation(
+        m, F.col("norm"), F.col("kind"), guess_method(F.col("norm"), F.col("kind"), F.col("method")), F.col("method").isNotNull() & ~inferred,
+        F.when(inferred, "medium").otherwise(F.col("confidence")), tags, F.col("base"),
+    )
+
+
+def from_calls(artifacts: DataFrame, matches: DataFrame) -> DataFrame:
+    """Fetches on all bases at high confidence, opens, and sockets: neither comments nor noise are filtered here."""
+    about = artifacts.select("artifact_id", F.col("url").alias("source_url"), "source_kind")
+    calls = matches.where("rule in ('fetch', 'XMLHttpRequest', 'new WebSocket', 'ws-url') or rule like 'var:%'").join(about, "artifact_id").join(base_urls(matches), "artifact_id", "left")
+    calls = calls.withColumn("extractor", F.when(F.col("rule") == "fetch", 2).when(F.col("rule").isin("new WebSocket", "ws-url"), 4).otherwise(3))
+    calls = calls.withColumn("cand", U.strip_placeholders(U.clean_candidate(F.col("value")))).where(U.is_probably_url(F.col("cand")))
+    fan = F.when((F.col("rule") == "fetch") & F.col("cand").startswith("/"), F.coalesce("bases", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    own = U.absolutize(F.col("source_url"), F.col("cand"))
+    own = F.when((F.col("extractor") == 4) & ~F.col("cand").rlike("(?i)^wss?://"), U.to_websocket(own)).otherwise(own)
+    calls = calls.select("*", F.posexplode(F.array_distinct(F.array_compact(F.concat(F.array(own), F.transform(fan, lambda b: U.absolutize(b, F.col("cand"))))))).alias("base", "full"))
+    calls = calls.withColumn("norm", U.normalize(F.col("full"))).where("norm is not null and (extractor <> 4 or norm like 'ws%')")
+    calls = calls.withColumn("kind", classify(F.col("norm"), F.col("rule")))
+    observed = F.when(F.col("extractor") == 4, F.lit(False)).otherwise(F.col("method").isNotNull())
+    return _observation(calls, F.col("norm"), F.col("kind"), guess_method(F.col("norm"), F.col("kind"), F.col("method")), observed, F.col("confidence"), F.array(F.concat(F.lit("rule:"), F.col("rule"))), F.col("base"))
+
+
+def from_concatenations(artifacts: DataFrame, matches: DataFrame) -> DataFrame:
+    """base + "/path" where the base resolves in the same text: joined as written, not as a reference."""
+    about = artifacts.select("artifact_id", F.col("url").alias("source_url"), "source_kind")
+    m = matches.where("rule like 'concat:%'").join(about, "artifact_id")
+    halves = F.split("value", "\0")
+    m = m.withColumn("norm", U.normalize(F.concat(F.get(halves, F.lit(0)), U.strip_placeholders(F.get(halves, F.lit(1)))))).where("norm is not null").withColumn("kind", classify(F.col("norm"), F.lit("concat")))
+    tags = F.array(F.lit("rule:concat"), F.concat(F.lit("base:"), F.substring("rule", 8, 100)))
+    return _observation(m, F.col("norm"), F.col("kind"), guess_method(F.col("norm"), F.col("kind")), F.lit(False), F.col("confidence"), tags, F.lit(0))
+
+
+def with_services(obs: DataFrame) -> DataFrame:
+    """Retype Swagger and GraphQL rows, and add a row for the root of each ArcGIS or OGC service."""
+    low = F.lower(U.part(F.col("url"), 3))
+    root = F.regexp_extract("url", r"(?i)^(.*?/(?:MapServer|FeatureServer|ImageServer|SceneServer|VectorTileServer|GeometryServer|GPServer|GeocodeServer|GeoDataServer|GlobeServer|StreamServer))(?:[/?]|$)", 1)
+    ogc = low.rlike(r"/(?:geoserver|mapserv|qgis|ows|wms|wfs|wcs|wmts)(?![a-z0-9])")
+    base = F.when(root != "", root).when(ogc, ogc_base(F.col("url")))
+    roots = obs.withColumn("_root", base).where("_root is not null and _root <> url")
+    kind = classify(F.col("_root"))
+    seq = F.col("seq").withField("base", F.col("seq.base") + 1000)
+    added = roots.withColumns({"url": F.col("_root"), "type": kind, "method": F.lit("GET"), "method_observed": F.lit(False), "tags": F.array(F.lit("service:root")), "seq": seq}).select(*obs.columns)
+    return obs.unionByName(added)
+
+
+OGC_KEYS = "service request version layers layer styles style format srs crs bbox width height transparent typename typenames outputformat tilematrixset tilematrix tilerow tilecol".split()
+
+
+def ogc_base(url: Column) -> Column:
+    """The service's URL: its query without the protocol's own keys."""
+    return U.let(url, _ogc_bare)
+
+
+def _ogc_bare(url: Column) -> Column:
+    pairs = F.filter(F.split(U.part(url, 4), "&"), lambda p: p.contains("=") & ~p.endswith("=") & ~F.lower(F.regexp_extract(p, "^([^=]*)", 1)).isin(OGC_KEYS))
+    bare = F.concat(U.origin(url), U.part(url, 3))
+    return F.when(F.size(pairs) > 0, F.concat(bare, F.lit("?"), F.array_join(pairs, "&"))).otherwise(bare)
+
+
+def ogc_service(url: Column) -> Column:
+    """Which OGC service a URL is; null for none."""
+    low, path = F.lower(url), F.lower(U.part(url, 3))
+    named = F.regexp_extract(low, "[?&]service=(wms|wmts|wfs|wcs|csw|wps)(?:&|$)", 1)
+    by_path = F.coalesce(*[F.when(path.contains("/" + s), s) for s in ("wmts", "wms", "wfs", "wcs", "csw", "wps")])
+    marked = F.when(path.rlike("/(?:geoserver|ows|mapserv|qgis)(?![a-z0-9])"), "wms")
+    return F.upper(F.coalesce(F.nullif(named, F.lit("")), by_path, marked))
+
+
+# fixed values: protocol versions
+OGC_VERSION = {"WMS": "1.3.0", "WMTS": "1.0.0", "WFS": "2.0.0", "WCS": "2.0.1", "CSW": "2.0.2", "WPS": "1.0.0"}
+
+
+def capabilities_url(url: Column) -> Column:
+    base, service = ogc_base(url), ogc_service(url)
+    version = F.coalesce(*[F.when(service == s, v) for s, v in OGC_VERSION.items()])
+    joint = F.when(base.contains("?"), "&").otherwise("?")
+    return F.concat(base, joint, F.lit("service="), service, F.lit("&request=GetCapabilities&version="), version)
+
+
+def spa_routes(artifacts: DataFrame, most: int = 120) -> DataFrame:
+    """Routes of single-page applications at the root of their origin, a limited number for each artefact."""
+    found = rules.side_outputs(artifacts).where("what = 'route'").join(artifacts.select("artifact_id", F.col("url").alias("source_url")), "artifact_id")
+    found = found.where(~F.col("value").rlike("[:.]"))
+    path = F.concat(F.lit("/"), F.regexp_replace("value", "^/+", ""))
+    found = found.select("artifact_id", "ord", U.normalize(F.concat(U.origin(F.col("source_url")), path)).alias("url")).where("url is not null")
+    first = found.groupBy("artifact_id", "url").agg(F.min("ord").alias("ord"))
+    order = Window.partitionBy("artifact_id").orderBy("ord")
+    return first.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).select("artifact_id", "url")
+
+
+def graphql_operations(artifacts: DataFrame) -> DataFrame:
+    """One GraphQL endpoint for each artefact that holds operations: tags kind:name, params names."""
+    found = rules.side_outputs(artifacts).where("what = 'graphql'").join(artifacts.select("artifact_id", F.col("url").alias("source_url")), "artifact_id")
+    ordered = F.slice(F.array_sort(F.collect_list(F.struct("ord", "value", "more"))), 1, 60)
+    each = found.groupBy("artifact_id", "source_url").agg(ordered.alias("ops"))
+    return each.select("artifact_id", F.concat(U.origin(F.col("source_url")), F.lit("/graphql")).alias("url"), F.transform("ops", lambda o: F.concat(o["more"], F.lit(":"), o["value"])).alias("tags"), F.transform("ops", lambda o: o["value"]).alias("params"))
+
+
+def analyze(artifacts: DataFrame) -> DataFrame:
+    """All observations of text artefacts, with seq for the merge."""
+    found = rules.matches(artifacts)
+    general = from_matches(artifacts, found)
+    return with_services(general.unionByName(from_concatenations(artifacts, found)).unionByName(from_calls(artifacts, found)))
