@@ -127,14 +127,16 @@ def mix_sizes(sizes: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of `docs`: a document as often as its taken words fill it,
     and once more cut after the words that are left. Rows that share doc_id and source take the most of them."""
-    taken = mix(docs).where("taken > 0").groupBy("doc_id", "source").agg(F.max("taken").alias("taken"), F.max("size").alias("size"))
-    taken = materialize(taken, "taken").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "taken", "size")
-    same = docs["doc_id"].cast("long").eqNullSafe(taken["_d"]) & docs["source"].cast("string").eqNullSafe(taken["_s"])
-    rounds = F.col("taken") / F.col("size")
-    each = docs.join(taken, same).withColumn("_left", F.explode(F.transform(F.sequence(F.lit(1), F.ceil(rounds)), lambda k: F.least(F.col("size"), F.col("taken") - (k - 1) * F.col("size")))))
+    named = {"__doc": "doc_id", "__source": "source"}
+    taken = mix(docs).where("taken > 0").groupBy("doc_id", "source").agg(F.max("taken").alias("__taken"), F.max("size").alias("__size"))
+    taken = materialize(taken, "taken").select(*[F.col(v).alias(k) for k, v in named.items()], "__taken", "__size")
+    same = docs["doc_id"].cast("long").eqNullSafe(taken["__doc"]) & docs["source"].cast("string").eqNullSafe(taken["__source"])
+    rounds = F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")))
+    each = docs.join(taken, same).withColumn("__left", F.explode(F.transform(rounds, lambda k: F.least(F.col("__size"), F.col("__taken") - (k - 1) * F.col("__size")))))
+    cut = F.col("__left") < F.col("__size")
     words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    text = F.when(F.col("_left") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("_left").cast("int")), "")).otherwise(F.col("text"))
+    text = F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("__left").cast("int")), "")).otherwise(F.col("text"))
     out = each.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_left") < F.col("size"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
