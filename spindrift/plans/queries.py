@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import url as U
-from ..operators import crawl, documents, extract, html, merge, report, rules, select
+from ..operators import crawl, detect, documents, extract, html, merge, report, rules, select
 from ..sources import sinks
 from . import corpora, scan
 
@@ -590,6 +590,60 @@ def n01_network_log(spark, d):
     return documents.network_endpoints(log).select("request_id", "url", "type")
 
 
+@query(f"{U_CTE} SELECT id, regexp_extract(url, '(?i)^(.*?/(mapserver|imageserver))(/|$)', 1) AS root, lower(regexp_extract(url, '(?i)/(mapserver|imageserver)(/|$)', 1)) AS kind FROM x WHERE id % 20 IN (4, 18)")
+def a01_arcgis_service(spark, d):
+    return urls(spark, d).select("id", detect.arcgis_service(F.col("url")).alias("s")).where("s is not null").select("id", "s.root", "s.kind")
+
+
+@query(f"{U_CTE} SELECT id, {any_sql('lower(p)', C.GRAPHQL)} AS graphql, {any_sql('lower(url)', C.SWAGGER)} AS swagger FROM x")
+def g01_p04_service_documents(spark, d):
+    return urls(spark, d).select("id", detect.is_graphql(F.col("url")).alias("graphql"), detect.looks_like_swagger(F.col("url")).alias("swagger"))
+
+
+@query("SELECT o_orderkey AS id, 'https://a.example.com/docs/' || (o_orderkey % 5) || '/' || n.name AS candidate FROM orders, (SELECT 'swagger.json' AS name UNION ALL SELECT 'openapi.json' UNION ALL SELECT 'v1/swagger.json' UNION ALL SELECT 'swagger/v1/swagger.json') n")
+def p04_schema_candidates(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    page = F.concat(F.lit("https://a.example.com/docs/"), F.col("o_orderkey") % 5, F.lit("/index.html"))
+    return o.select(F.col("o_orderkey").alias("id"), F.explode(detect.schema_candidates(page)).alias("candidate"))
+
+
+@query("SELECT n_nationkey AS artifact_id, 'https://n' || n_nationkey || '.example.com/src/' || v.f AS source FROM nation, (SELECT 'app.js' AS f UNION ALL SELECT 'lib/net.js') v")
+def x03_original_sources(spark, d):
+    body = '{"sourceRoot": "/src/", "sources": ["app.js", "lib/net.js", "webpack://x/y.js", "node_modules/a.js"]}'
+    return detect.original_sources(described(spark, d, F.lit(body), "js/app.js.map")).withColumn("artifact_id", F.col("artifact_id").cast("int"))
+
+
+@query("SELECT p_partkey AS artifact_id, v.name FROM part, (SELECT 'React' AS name, 0 AS k UNION ALL SELECT 'Axios', 1 UNION ALL SELECT 'D3', 2) v WHERE p_partkey % 3 = v.k")
+def h11_source_technologies(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet")
+    k = F.col("p_partkey") % 3
+    return detect.source_technologies(p.select(F.col("p_partkey").alias("artifact_id"), F.when(k == 0, "x=react-dom").when(k == 1, "throw new AxiosError").otherwise("d3.select(1)").alias("body")))
+
+
+@query("SELECT p_partkey AS page_id, 'https://api.example.com/v1/' || v.k AS url FROM part, (SELECT 1 AS k UNION ALL SELECT 2) v")
+def s16_stored_urls(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet")
+    return detect.stored_urls(p.select(F.col("p_partkey").alias("page_id"), F.lit(0).alias("ord"), F.lit('{"a":"https://api.example.com/v1/1","b":["https://api.example.com/v1/2","https://api.example.com/v1/1"]}').alias("value")))
+
+
+@query("SELECT page_id, page_id % 3 <> 2 AS textual FROM pages")
+def s10_textual(spark, d):
+    kind = F.element_at(F.array(F.lit("text/html; charset=utf-8"), F.lit(None).cast("string"), F.lit("image/png")), (F.col("page_id") % 3 + 1).cast("int"))
+    return pages(spark, d).select("page_id", crawl.textual(kind, F.col("html")).alias("textual"))
+
+
+@query(f"{M_CTE} SELECT method, url, CASE WHEN status_code IS NULL AND method = 'GET' AND url LIKE '%7' THEN 204 ELSE status_code END AS status_code, (status_code IS NULL AND method = 'GET' AND url LIKE '%7') AS checked FROM m")
+def c10_verified(spark, d):
+    m = merged(spark, d)
+    r = m.where("url like '%7'").select("url", F.lit(204).alias("status_code"), F.lit("text/plain").alias("content_type"), F.lit(None).cast("string").alias("error"))
+    return scan.verified(m, r).select("method", "url", "status_code", F.array_contains("tags", "verified").alias("checked"))
+
+
+@query("SELECT page_id, 'wss://' || substr(regexp_extract(url, '^https?://[^/?#]*', 0), strpos(url, '://') + 3) AS socket FROM pages WHERE url LIKE 'https:%'")
+def u21_to_websocket(spark, d):
+    return pages(spark, d).where("url like 'https:%'").select("page_id", U.to_websocket(U.origin(F.col("url"))).alias("socket"))
+
+
 @query()
 def scan_end_to_end(spark, d):
     none = spark.createDataFrame([], "url string")
