@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_snapshot_collapse": chats.ORACLE_SQL}
+    return {"op4_warc_zip_reader": warc.ORACLE_SQL, "op7_snapshot_collapse": chats.ORACLE_SQL}

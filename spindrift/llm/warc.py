@@ -218,3 +218,14 @@ def archived_and_read(pages: DataFrame, min_bytes: int = 0, payloads: bool = Fal
     """Write all pages, then read every record back."""
     packages, folder = archive(pages, None, min_bytes)
     return read_packages(packages.repartition(F.col("path")), folder, payloads)
+
+
+#: What the archives say, straight from the pages; base 32 by 20 bits, that is five hex digits, at a time.
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+r AS (SELECT page_id, html, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS first FROM p),
+d AS (SELECT *, list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        CAST(((CAST('0x' || substr(h, CAST(i // 4 AS BIGINT) * 5 + 1, 5) AS BIGINT) >> (15 - 5 * CAST(i % 4 AS INTEGER))) & 31) + 1 AS BIGINT), 1)) AS letters FROM r)
+SELECT page_id, strlen(html) AS payload_bytes, array_to_string(letters, '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d
+"""
