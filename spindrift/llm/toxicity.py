@@ -158,7 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[FuzzyTrie, np.ndarray] | No
     draw = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30))
     limit = F.when(F.col("toxic"), F.lit(int(min(1, FIT_EACH / sizes[True]) * (1 << 30)))).otherwise(F.lit(int(min(1, FIT_EACH / sizes[False]) * (1 << 30))))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= FIT_CHARS)
-    drawn = texts.join(known.where(draw < limit), "doc_id").toArrow().to_pylist()
+    # broadcast: about 2 * FIT_EACH rows, and never more than four times that
+    sample = known.where(draw < limit).limit(8 * FIT_EACH)
+    drawn = texts.join(F.broadcast(sample), "doc_id").toArrow().to_pylist()
     drawn.sort(key=lambda r: (r["doc_id"], r["text"]))
     toxic, other = ([r["text"] for r in drawn if r["toxic"] is flag] for flag in (True, False))
     if not toxic or not other:
