@@ -10,8 +10,10 @@ the library whole.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
+from bisect import bisect_right
 from pathlib import Path
 
 import numpy as np
@@ -127,27 +129,34 @@ class WordBpe:
 
     def _learn(self, chunks: set[str]) -> None:
         known = self._chunks
-        split = [(c, _PIECE.findall(c)) for c in chunks]
-        by_length: dict[int, dict[bytes, None]] = {}
-        ids: dict[str, bytes] = {}
-        for _, pieces in split:
-            for p in pieces:
-                if p not in ids:
-                    raw = p.encode()
-                    ids[p] = raw
-                    if len(raw) <= LONGEST_MERGED:
-                        by_length.setdefault(len(raw), {})[raw] = None
-                    else:
-                        by_length.setdefault(0, {})[raw] = None
-        done: dict[bytes, bytes] = {}
-        for width, words in by_length.items():
-            found = [self._asked(w.decode()) for w in words] if not width else self._merge_all(list(words))
-            done.update(zip(words, found))
-        for c, pieces in split:
-            known[c] = done[ids[pieces[0]]] if len(pieces) == 1 else b"".join([done[ids[p]] for p in pieces])
+        mixed = [(c, _PIECE.findall(c)) for c in chunks if not c.isalpha()]  # letters alone are one word
+        words = {c for c in chunks if c.isalpha()}
+        for _, pieces in mixed:
+            words.update(pieces)
+        raw = {w: w.encode() for w in words.difference(known)}
+        by_size = sorted(raw, key=lambda w: len(raw[w]))
+        sizes = [len(raw[w]) for w in by_size]
+        at = 0
+        while at < len(by_size):
+            width = sizes[at]
+            end = bisect_right(sizes, width) if width <= LONGEST_MERGED else len(sizes)
+            group = by_size[at:end]
+            known.update(zip(group, self._merge_all([raw[w] for w in group]) if width <= LONGEST_MERGED else map(self._asked, group)))
+            at = end
+        for c, pieces in mixed:
+            known[c] = b"".join([known[p] for p in pieces])
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """All ids of each text, as little-endian uint32 bytes."""
+        collecting = gc.isenabled()
+        gc.disable()  # many small objects and no cycles: the collector would only walk them again and again
+        try:
+            return self._batch(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
         split: list[list[str] | bytes] = []
         new: set[str] = set()
         for text in texts:
