@@ -82,7 +82,7 @@ def sampled_labels(labels: DataFrame) -> DataFrame:
     """doc_id and quality of about FIT_ROWS labelled documents, all if there are no more."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("_quality"))
     share = min(1.0, FIT_ROWS / max(1, known.count()))
-    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * FIT_ROWS)
 
 
 def fit_model(stats: DataFrame, labels: DataFrame) -> boosting.Forest | None:
@@ -118,7 +118,8 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs`, with all their columns, whose text passes; texts are read once beside the fit."""
-    sample = docs.join(sampled_labels(labels).select("doc_id"), "doc_id", "left_semi")
+    # broadcast: at most 2 * FIT_ROWS ids, so that texts aren't shuffled for the fit
+    sample = docs.join(F.broadcast(sampled_labels(labels).select("doc_id")), "doc_id", "left_semi")
     model = fit_model(document_stats(sample), labels)
     at = docs.columns.index("text")
 
