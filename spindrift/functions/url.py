@@ -6,9 +6,10 @@ templates such as `{z}` and hosts it doesn't like.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SPLIT = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
@@ -42,6 +43,11 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """withColumn that the optimizer doesn't write out again wherever the column is used: one row is generated from one."""
+    return df.drop(name).select("*", F.explode(F.array(value)).alias(name))
+
+
 def part(url: Column, group: int) -> Column:
     """1 scheme, 2 authority, 3 path, 4 query."""
     return F.regexp_extract(F.trim(url), _SPLIT, group)
@@ -53,8 +59,8 @@ def _parts(url: Column) -> Column:
 
 
 def any_of(value: Column, markers: list[str]) -> Column:
-    """Whether the value contains one of the markers."""
-    return reduce(lambda a, b: a | b, [value.contains(m) for m in markers])
+    """Whether the value contains one of the markers. One pattern, so that the value stands in the plan once."""
+    return value.rlike("|".join(re.sub(r"([^\w/ ])", r"\\\1", m) for m in markers))
 
 
 def clean_candidate(raw: Column) -> Column:

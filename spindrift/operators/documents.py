@@ -234,8 +234,9 @@ def expand(artifacts: DataFrame) -> DataFrame:
     text = F.when(F.col("strip"), U.strip_placeholders(F.col("candidate"))).otherwise(F.col("candidate"))
     full = U.absolutize(F.col("source_url"), text)
     full = F.when(F.col("source") == "GetCapabilities", ogc_base(full)).otherwise(full)
-    rows = rows.withColumn("url", U.normalize(full)).where("url is not null")
-    named = classify(F.col("url"), F.col("source"))
+    rows = U.bind(U.bind(rows, "_full", full), "url", U.normalize(F.col("_full"))).where("url is not null")
+    rows = U.bind(rows, "_named", classify(F.col("url"), F.col("source")))
+    named = F.col("_named")
     ogc = F.when(ogc_service(F.col("source_url")) == "WMTS", "Tile Server").otherwise("GeoServer")
     kind = (
         F.when(F.col("kind").isNotNull(), F.col("kind"))
@@ -244,7 +245,7 @@ def expand(artifacts: DataFrame) -> DataFrame:
         .otherwise(named)
     )
     seq = F.struct(F.lit(0).alias("stage"), F.col("artifact_id").alias("artifact"), F.lit(0).alias("extractor"), F.col("ord").alias("ord"), F.lit(0).alias("base"))
-    return rows.withColumn("type", kind).select(
+    return U.bind(rows, "type", kind).select(
         guess_method(F.col("url"), F.col("type"), F.col("method")).alias("method"), "url", F.col("method").isNotNull().alias("method_observed"), "type", "source", "source_url", "evidence",
         "confidence", F.lit(None).cast("int").alias("status_code"), F.lit(None).cast("string").alias("content_type"), "params", "tags", seq.alias("seq"),
     )
@@ -292,8 +293,8 @@ API_RESOURCES = ["xhr", "fetch", "eventsource", "websocket"]
 
 def network_endpoints(log: DataFrame) -> DataFrame:
     """From a request log (request_id, url, method, resource_type, status, content_type): what was called and looks like an interface."""
-    rows = log.withColumn("norm", U.normalize(F.col("url"))).where("norm is not null").where(~U.is_infrastructure(F.col("norm")))
-    rows = rows.withColumn("type", classify(F.col("norm"), F.lit(None).cast("string"), F.col("content_type")))
+    rows = U.bind(log, "norm", U.normalize(F.col("url"))).where("norm is not null").where(~U.is_infrastructure(F.col("norm")))
+    rows = U.bind(rows, "type", classify(F.col("norm"), F.lit(None).cast("string"), F.col("content_type")))
     api = F.col("resource_type").isin(API_RESOURCES) | F.coalesce(F.col("content_type").contains("json"), F.lit(False)) | ~F.col("method").isin("GET", "HEAD")
     rows = rows.where((F.col("type") != "Unknown") | api)
     return rows.select("request_id", F.col("norm").alias("url"), F.upper("method").alias("method"), "type", F.col("status").alias("status_code"), "content_type", F.lit("high").alias("confidence"), F.array(F.lit("observed"), F.concat(F.lit("resource:"), F.col("resource_type"))).alias("tags"))

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import url as U
 from ..functions.classify import classify, guess_method
+from ..session import materialize
 from . import rules
 
 FANOUT = 2  # bases that a bare path is tried on
@@ -34,14 +35,12 @@ OBSERVED = ["method", "url", "method_observed", "type", "source", "source_url",
 
 def is_noise(url: Column, evidence: Column) -> Column:
     """Namespaces, licences, parts of office archives, infrastructure and binaries."""
-    path = U.part(url, 3)
-    return (
-        U.host_of(url).isin(NOISE_HOSTS)
-        | (F.coalesce(evidence, F.lit("")).rlike(_LICENCE) & ~F.lower(url).contains("/api"))
-        | path.rlike(_ARCHIVE)
-        | U.is_infrastructure(url)
-        | (U.is_binary(url) & ~url.contains("?"))
-    )
+
+    def noisy(u: Column) -> Column:
+        told = F.coalesce(evidence, F.lit("")).rlike(_LICENCE) & ~F.lower(u).contains("/api")
+        return U.host_of(u).isin(NOISE_HOSTS) | told | U.part(u, 3).rlike(_ARCHIVE) | U.is_infrastructure(u) | (U.is_binary(u) & ~u.contains("?"))
+
+    return U.let(url, noisy)
 
 
 def has_api_signal(url: Column) -> Column:
@@ -51,8 +50,8 @@ def has_api_signal(url: Column) -> Column:
 def base_urls(matches: DataFrame) -> DataFrame:
     """artifact_id and bases: the first different absolute URLs among configuration values."""
     value = U.clean_candidate(F.col("value"))
-    found = matches.where("extractor = 0 and rule like 'config:%'").withColumn("v", value).where("(v like 'http://%' or v like 'https://%') and instr(v, '${') = 0")
-    found = found.withColumn("base", U.normalize(F.regexp_replace("v", "/+$", ""))).where("base is not null").groupBy("artifact_id", "base").agg(F.min("ord").alias("ord"))
+    found = U.bind(matches.where("extractor = 0 and rule like 'config:%'"), "v", value).where("(v like 'http://%' or v like 'https://%') and instr(v, '${') = 0")
+    found = U.bind(found, "base", U.normalize(F.regexp_replace("v", "/+$", ""))).where("base is not null").groupBy("artifact_id", "base").agg(F.min("ord").alias("ord"))
     listed = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("ord", "base"))), 1, BASES), lambda b: b["base"])
     return found.groupBy("artifact_id").agg(listed.alias("bases"))
 
@@ -72,14 +71,15 @@ def from_matches(artifacts: DataFrame, matches: DataFrame) -> DataFrame:
     about = artifacts.select("artifact_id", F.col("url").alias("source_url"), "source_kind")
     m = matches.where("extractor = 0").join(about, "artifact_id").join(base_urls(matches), "artifact_id", "left")
     m = m.where(~(F.col("in_comment") & F.col("source_kind").isin(COMMENTED)))
-    m = m.withColumn("cand", U.clean_candidate(F.col("value"))).where(U.is_probably_url(F.col("cand"))).withColumn("cand", U.strip_placeholders(F.col("cand")))
+    m = U.bind(m, "raw", U.clean_candidate(F.col("value"))).where(U.is_probably_url(F.col("raw")))
+    m = U.bind(m, "cand", U.strip_placeholders(F.col("raw")))
     fan = F.when(F.col("cand").startswith("/") & (F.col("confidence") == "high"), F.slice(F.coalesce("bases", F.array().cast("array<string>")), 1, FANOUT)).otherwise(F.array().cast("array<string>"))
     first = U.absolutize(F.col("source_url"), F.col("cand"))
     others = F.transform(fan, lambda b: U.absolutize(b, F.col("cand")))
     m = m.withColumn("resolved", F.array_distinct(F.array_compact(F.concat(F.array(first), others))))
-    m = m.select("*", F.posexplode("resolved").alias("base", "full")).withColumn("norm", U.normalize(F.col("full")))
+    m = U.bind(m.select("*", F.posexplode("resolved").alias("base", "full")), "norm", U.normalize(F.col("full")))
     m = m.where("norm is not null").where(~is_noise(F.col("norm"), F.col("evidence")))
-    m = m.withColumn("kind", classify(F.col("norm"), F.col("rule")))
+    m = U.bind(m, "kind", classify(F.col("norm"), F.col("rule")))
     m = m.where(~((F.col("kind") == "Unknown") & (F.col("confidence") == "low") & ~has_api_signal(F.col("norm"))))
     inferred = F.col("base") > 0
     tags = F.concat(F.array(F.concat(F.lit("rule:"), F.col("rule"))), F.when(inferred, F.array(F.lit("base:inferred"))).otherwise(F.array().cast("array<string>")))
@@ -94,13 +94,13 @@ def from_calls(artifacts: DataFrame, matches: DataFrame) -> DataFrame:
     about = artifacts.select("artifact_id", F.col("url").alias("source_url"), "source_kind")
     calls = matches.where("rule in ('fetch', 'XMLHttpRequest', 'new WebSocket', 'ws-url') or rule like 'var:%'").join(about, "artifact_id").join(base_urls(matches), "artifact_id", "left")
     calls = calls.withColumn("extractor", F.when(F.col("rule") == "fetch", 2).when(F.col("rule").isin("new WebSocket", "ws-url"), 4).otherwise(3))
-    calls = calls.withColumn("cand", U.strip_placeholders(U.clean_candidate(F.col("value")))).where(U.is_probably_url(F.col("cand")))
+    calls = U.bind(calls, "cand", U.strip_placeholders(U.clean_candidate(F.col("value")))).where(U.is_probably_url(F.col("cand")))
     fan = F.when((F.col("rule") == "fetch") & F.col("cand").startswith("/"), F.coalesce("bases", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
     own = U.absolutize(F.col("source_url"), F.col("cand"))
     own = F.when((F.col("extractor") == 4) & ~F.col("cand").rlike("(?i)^wss?://"), U.to_websocket(own)).otherwise(own)
     calls = calls.select("*", F.posexplode(F.array_distinct(F.array_compact(F.concat(F.array(own), F.transform(fan, lambda b: U.absolutize(b, F.col("cand"))))))).alias("base", "full"))
-    calls = calls.withColumn("norm", U.normalize(F.col("full"))).where("norm is not null and (extractor <> 4 or norm like 'ws%')")
-    calls = calls.withColumn("kind", classify(F.col("norm"), F.col("rule")))
+    calls = U.bind(calls, "norm", U.normalize(F.col("full"))).where("norm is not null and (extractor <> 4 or norm like 'ws%')")
+    calls = U.bind(calls, "kind", classify(F.col("norm"), F.col("rule")))
     observed = F.when(F.col("extractor") == 4, F.lit(False)).otherwise(F.col("method").isNotNull())
     return _observation(calls, F.col("norm"), F.col("kind"), guess_method(F.col("norm"), F.col("kind"), F.col("method")), observed, F.col("confidence"), F.array(F.concat(F.lit("rule:"), F.col("rule"))), F.col("base"))
 
@@ -110,7 +110,8 @@ def from_concatenations(artifacts: DataFrame, matches: DataFrame) -> DataFrame:
     about = artifacts.select("artifact_id", F.col("url").alias("source_url"), "source_kind")
     m = matches.where("rule like 'concat:%'").join(about, "artifact_id")
     halves = F.split("value", "\0")
-    m = m.withColumn("norm", U.normalize(F.concat(F.get(halves, F.lit(0)), U.strip_placeholders(F.get(halves, F.lit(1)))))).where("norm is not null").withColumn("kind", classify(F.col("norm"), F.lit("concat")))
+    m = U.bind(m, "norm", U.normalize(F.concat(F.get(halves, F.lit(0)), U.strip_placeholders(F.get(halves, F.lit(1)))))).where("norm is not null")
+    m = U.bind(m, "kind", classify(F.col("norm"), F.lit("concat")))
     tags = F.array(F.lit("rule:concat"), F.concat(F.lit("base:"), F.substring("rule", 8, 100)))
     return _observation(m, F.col("norm"), F.col("kind"), guess_method(F.col("norm"), F.col("kind")), F.lit(False), F.col("confidence"), tags, F.lit(0))
 
@@ -121,7 +122,7 @@ def with_services(obs: DataFrame) -> DataFrame:
     root = F.regexp_extract("url", r"(?i)^(.*?/(?:MapServer|FeatureServer|ImageServer|SceneServer|VectorTileServer|GeometryServer|GPServer|GeocodeServer|GeoDataServer|GlobeServer|StreamServer))(?:[/?]|$)", 1)
     ogc = low.rlike(r"/(?:geoserver|mapserv|qgis|ows|wms|wfs|wcs|wmts)(?![a-z0-9])")
     base = F.when(root != "", root).when(ogc, ogc_base(F.col("url")))
-    roots = obs.withColumn("_root", base).where("_root is not null and _root <> url")
+    roots = U.bind(obs, "_root", base).where("_root is not null and _root <> url")
     kind = classify(F.col("_root"))
     seq = F.col("seq").withField("base", F.col("seq.base") + 1000)
     added = roots.withColumns({"url": F.col("_root"), "type": kind, "method": F.lit("GET"), "method_observed": F.lit(False), "tags": F.array(F.lit("service:root")), "seq": seq}).select(*obs.columns)
@@ -182,7 +183,12 @@ def graphql_operations(artifacts: DataFrame) -> DataFrame:
 
 
 def analyze(artifacts: DataFrame) -> DataFrame:
-    """All observations of text artefacts, with seq for the merge."""
-    found = rules.matches(artifacts)
+    """All observations of text artefacts, with seq for the merge.
+
+    Matches are stored, since several extractors read them and finding them is the one Python pass;
+    observations are stored, since their service roots are read from them.
+    """
+    found = materialize(rules.matches(artifacts), "matches")
     general = from_matches(artifacts, found)
-    return with_services(general.unionByName(from_concatenations(artifacts, found)).unionByName(from_calls(artifacts, found)))
+    stored = materialize(general.unionByName(from_concatenations(artifacts, found)).unionByName(from_calls(artifacts, found)), "observations")
+    return with_services(stored)
