@@ -193,7 +193,8 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     near = materialize(near_duplicates(docs), "near")
     leaders = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_rows"))
     leaders = materialize(leaders, "leaders").withColumnRenamed("doc_id", "_leader")
-    kept = docs.join(leaders, docs["doc_id"].cast("long").eqNullSafe(leaders["_leader"]), "left_semi")
+    # the leaders grow with the corpus: one plan at every size, and never a broadcast
+    kept = docs.join(leaders.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(leaders["_leader"]), "left_semi")
     if leaders.where("_rows > 1 and _leader is not null").isEmpty():
         return kept
     once = kept.where("doc_id is not null").dropDuplicates(["doc_id"])  # some documents were given twice
