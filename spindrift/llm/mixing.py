@@ -105,7 +105,8 @@ def mix_sizes(sizes: DataFrame) -> DataFrame:
     shard_size = F.greatest(F.lit(1), F.least(F.lit(SHARD_MOST), F.floor(F.col("total") / SHARDS)))
     goals = goals.withColumn("_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_size)))
     quotas = apportion(goals.withColumn("_all", F.lit(0)), ["_all"], ["source"], "target", "_blocks").drop("_all")
-    quotas = quotas.select("source", "source_size", "target", "block", "_shards", F.col("quota").alias("_source_quota"))
+    # stored: one row a source, so that the join below sees its size, or can split a source that most rows have
+    quotas = materialize(quotas.select("source", "source_size", "target", "block", "_shards", F.col("quota").alias("_source_quota")), "quotas")
 
     # one row a source; joined by name, with null as a name of its own
     named = lambda c: F.struct(F.col(c).isNull().alias("none"), F.coalesce(c, F.lit("")).alias("name"))
@@ -132,7 +133,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     taken = materialize(taken, "taken").select(*[F.col(v).alias(k) for k, v in named.items()], "__taken", "__size")
     same = docs["doc_id"].cast("long").eqNullSafe(taken["__doc"]) & docs["source"].cast("string").eqNullSafe(taken["__source"])
     rounds = F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")))
-    each = docs.join(taken, same).withColumn("__left", F.explode(F.transform(rounds, lambda k: F.least(F.col("__size"), F.col("__taken") - (k - 1) * F.col("__size")))))
+    # taken grows with the corpus: one plan at every size, and never a broadcast
+    each = docs.join(taken.hint("merge"), same).withColumn("__left", F.explode(F.transform(rounds, lambda k: F.least(F.col("__size"), F.col("__taken") - (k - 1) * F.col("__size")))))
     cut = F.col("__left") < F.col("__size")
     words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     text = F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("__left").cast("int")), "")).otherwise(F.col("text"))
