@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .arrowio import map_rows, utf8_column
 from .components import star_forest
+from .copies import near_copies
 
 SEED = 42
 SHINGLE = 3
@@ -186,11 +187,11 @@ def hex_digits(fp):
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all their columns, that lead their component: one document of each group.
+    """The rows of `docs`, with all their columns, that lead their component: one document of each group of near copies.
 
-    Rows without a doc_id stay only where none of their group has one.
+    The groups are those of copies.py, wider than the fixed values of near_duplicates above. Rows without a doc_id stay only where none of their group has one.
     """
-    near = materialize(near_duplicates(docs), "near")
+    near = materialize(near_copies(docs), "near")
     leaders = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_rows"))
     leaders = materialize(leaders, "leaders").withColumnRenamed("doc_id", "_leader")
     # the leaders grow with the corpus: one plan at every size, and never a broadcast

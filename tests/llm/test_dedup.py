@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spindrift.llm import anchors, repeats, simhash, suffixes
+from spindrift.llm import anchors, copies, repeats, simhash, suffixes
 from spindrift.llm.components import star_forest
 
 
@@ -99,6 +99,46 @@ def test_keep_one_each(spark):
     assert sorted((r["doc_id"], r["lang"]) for r in simhash.keep_one_each(docs).collect()) == [(2, "de"), (9, None)]
 
 
+def plain_shingles(text):
+    w = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_keep_one_each_by_brute_force(spark):
+    r = random.Random(12)
+    vocab = [f"w{k}" for k in range(400)]
+    texts = [None, "", " \n", "A b", "a B", "É a B c é"]
+    for _ in range(15):
+        base = [r.choice(vocab) for _ in range(r.randint(60, 250))]
+        for _ in range(8):
+            near = list(base)
+            for _ in range(r.randint(0, 6)):
+                near[r.randrange(len(near))] = r.choice(vocab)
+            texts.append(" ".join(near))
+    rows = list(enumerate(texts, 1)) + [(None, texts[9]), (7, texts[30])]
+    sets = [plain_shingles(t) for _, t in rows]
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert any((simhash.fingerprint(rows[a][1].encode()) ^ simhash.fingerprint(rows[b][1].encode())).bit_count() > 2 for a, b in near if rows[a][1] and rows[b][1])
+    root = roots(len(rows), near)
+    least = {}
+    for (doc, _), x in zip(rows, root):
+        if doc is not None:
+            least[x] = min(doc, least.get(x, doc))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((x[0], x[1]) for x in copies.near_copies(docs).collect() if x[0] is not None) == sorted((doc, least[x]) for (doc, _), x in zip(rows, root) if doc is not None)
+    assert sorted(x["doc_id"] for x in simhash.keep_one_each(docs).collect()) == sorted(set(least.values()))
+    assert simhash.keep_one_each(docs.limit(0)).count() == 0
+
+
+def test_linked_by_brute_force():
+    r = random.Random(2)
+    for _ in range(40):
+        sets = [np.unique(np.asarray([r.randrange(14) for _ in range(r.randint(1, 30))], np.uint64)) for _ in range(r.randint(2, 40))]
+        near = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))]
+        got, want = roots(len(sets), copies.linked(sets)), roots(len(sets), near)
+        assert [got.index(x) for x in got] == [want.index(x) for x in want]
+
+
 def test_merge_knows_prefixes():
     r = random.Random(3)
     for _ in range(200):
