@@ -143,3 +143,15 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(kept) == clean and all(len(kept[200 + k]) < 140 * 5 and passage[50:150] not in kept[200 + k] for k in range(4))
     assert ids(seen["mixing to target weights"]) <= clean
     assert seen["best-fit packing"].groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").count() == 0
+
+
+def test_passages_of_over_50_words_go(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(8)
+    vocab = [f"{a}{b}{c}{d}" for a in "bdfgkl" for b in "aeiou" for c in "lmnrst" for d in "aeiou"]
+    text = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    passage = text(54)
+    assert len(passage) < 300
+    docs = spark.createDataFrame([(k, f"{text(60)} {passage} {text(60)}", "en", "s", 0) for k in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [x["text"] for x in corpus_pipeline.passage_dedup(spark, docs, "").collect()]
+    assert len(kept) == 3 and all(passage[10:60] not in t and len(t.split()) >= 118 for t in kept)
