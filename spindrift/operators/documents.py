@@ -200,6 +200,10 @@ def capabilities(text: str, url: str) -> list[dict]:
 _PARSERS = {"robots": robots, "sitemap": sitemap, "manifest": manifest, "well_known": well_known, "openapi": openapi, "arcgis": arcgis, "capabilities": capabilities}
 
 
+OPENAPI_KEY = "[\"']?(?:openapi|swagger)[\"']?\\s*:"
+NOT_DATA = ["js", "css", "html", "map"]
+
+
 def document_kind():
     """Which parser a document goes to, by cheap looks at its address and its beginning; null: none."""
     path, head = F.lower(U.part(F.col("url"), 3)), F.lower(F.substring("body", 1, 2048))
@@ -210,22 +214,35 @@ def document_kind():
         .when(head.contains("<urlset") | head.contains("<sitemapindex") | path.rlike("/sitemap[^/]*\\.xml$"), "sitemap")
         .when(head.rlike("_capabilities|<(?:\\w+:)?capabilities"), "capabilities")
         .when(head.contains("currentversion") | head.contains("servicedescription") | head.contains("singlefusedmapcache"), "arcgis")
-        .when(head.rlike("[\"']?(?:openapi|swagger)[\"']?\\s*:"), "openapi")
+        .when(head.rlike(OPENAPI_KEY), "openapi")
     )
 
 
+def may_be_openapi(artifacts: DataFrame):
+    """Whether a description's key stands anywhere in a text that isn't markup; of scripts, styles and pages only the beginning decides."""
+    if "kind" not in artifacts.columns:
+        data = F.lit(True)
+    else:
+        data = F.coalesce(~F.col("kind").isin(NOT_DATA), F.lit(True))
+    return F.coalesce(data & ~F.col("body").rlike(r"^\s*<") & F.col("body").rlike(OPENAPI_KEY), F.lit(False))
+
+
 def candidates(artifacts: DataFrame) -> DataFrame:
-    """What the documents' parsers find, unresolved."""
+    """What the documents' parsers find, unresolved. What may be OpenAPI is tried as that before its beginning counts."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for key, url, body, kind in zip(*(c.to_pylist() for c in batch.columns)):
-                rows += [{"artifact_id": key, "ord": k, **r} for k, r in enumerate(_PARSERS[kind](body or "", url or ""))]
+            for key, url, body, kind, first in zip(*(c.to_pylist() for c in batch.columns)):
+                found = openapi(body or "", url or "") if first else []
+                if not found and kind and not (first and kind == "openapi"):
+                    found = _PARSERS[kind](body or "", url or "")
+                rows += [{"artifact_id": key, "ord": k, **r} for k, r in enumerate(found)]
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    chosen = artifacts.withColumn("_parser", document_kind()).where("_parser is not null")
-    return chosen.select("artifact_id", "url", "body", "_parser").mapInArrow(run, FIELDS)
+    chosen = artifacts.withColumn("_parser", document_kind())
+    chosen = chosen.withColumn("_first", may_be_openapi(artifacts) & F.coalesce(~F.col("_parser").isin("robots", "well_known", "manifest"), F.lit(True)))
+    return chosen.where("_parser is not null or _first").select("artifact_id", "url", "body", "_parser", "_first").mapInArrow(run, FIELDS)
 
 
 def expand(artifacts: DataFrame) -> DataFrame:

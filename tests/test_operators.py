@@ -98,6 +98,21 @@ def test_documents(spark):
     assert urls == {"https://a.com/private/x", "https://a.com/p", "https://h.a.com/v1/x/{id}", f"{root}/0", f"{root}/0/query", *(f"{root}/{o}" for o in ("export", "identify", "find", "legend", "layers")), f"{root}/tile/{{z}}/{{y}}/{{x}}"}
 
 
+def test_openapi_key_anywhere(spark):
+    far = json.dumps({"components": {"schemas": {f"S{k}": {"type": "object", "title": "currentVersion"} for k in range(100)}}, "info": {"title": "t"}, "openapi": "3.0.0", "paths": {"/late": {"get": {}}}})
+    assert far.index('"openapi"') > 2048
+    rows = [
+        (1, "https://a.com/one.json", "json", far),
+        (2, "https://b.com/two.yaml", "yaml", "# a licence\n" * 300 + "swagger: '2.0'\npaths:\n  /late:\n    post: {}\n"),
+        (3, "https://c.com/three.json", "json", json.dumps({"info": "x_capabilities", "swagger": "2.0", "paths": {"/late": {"get": {}}}})),
+        (4, "https://d.com/arcgis/rest/services/R/MapServer", "json", '{"currentVersion": 10, "layers": [{"id": 0}], "note": {"openapi": 1}}'),
+        (5, "https://e.com/five.js", "js", "x" * 3000 + ' {"openapi": "3.0.0"}'),
+    ]
+    got = {(r["method"], r["url"]) for r in documents.expand(spark.createDataFrame(rows, "artifact_id long, url string, kind string, body string")).collect()}
+    assert {("GET", "https://a.com/late"), ("POST", "https://b.com/late"), ("GET", "https://c.com/late")} <= got
+    assert {u.split("/")[2] for _, u in got} == {"a.com", "b.com", "c.com", "d.com"} and ("GET", "https://d.com/arcgis/rest/services/R/MapServer/0") in got
+
+
 def test_crawl_is_bounded(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "e"), ("e", "a")], "page_url string, url string")
     captured = spark.createDataFrame([("a",), ("b",), ("c",)], "url string")
