@@ -183,8 +183,9 @@ def graphql_operations(artifacts: DataFrame) -> DataFrame:
 
 
 def analyze(artifacts: DataFrame) -> DataFrame:
-    """All observations of text artefacts, with seq for the merge.
+    """Observations of the rule sweep, concatenations, calls and services in text artefacts, with seq for the merge.
 
+    GraphQL operations and routes aren't among them: scan.graphql_observations and spa_routes give those.
     Matches are stored, since several extractors read them and finding them is the one Python pass;
     observations are stored, since their service roots are read from them.
     """

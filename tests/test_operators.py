@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from spindrift.operators import crawl, documents, extract, html, merge, rules, select
+from spindrift.plans import scan
 from spindrift.sources import sinks
 
 RANK = {"low": 0, "medium": 1, "high": 2}
@@ -113,6 +114,32 @@ def test_openapi_key_anywhere(spark):
     assert {u.split("/")[2] for _, u in got} == {"a.com", "b.com", "c.com", "d.com"} and ("GET", "https://d.com/arcgis/rest/services/R/MapServer/0") in got
 
 
+def test_scan_reads_data_files_operations_and_traffic(spark):
+    pages = spark.createDataFrame([(1, "https://a.com/", "<html></html>")], "page_id long, url string, html string")
+    arts = spark.createDataFrame(
+        [
+            (11, "https://a.com/conf.json", "json", "JSON", '{"apiUrl": "https://api.a.com/api/conf"}'),
+            (12, "https://a.com/conf.xml", "xml", "XML", '<c url="https://api.a.com/api/from-xml"/>'),
+            (13, "https://a.com/conf.yaml", "yaml", "JSON", "apiUrl: 'https://api.a.com/api/from-yaml'"),
+            (14, "https://a.com/openapi.json", "json", "JSON", '{"openapi": "3.0.0", "info": {"description": "https://api.a.com/api/told"}, "paths": {"/op": {"get": {}}}}'),
+            (15, "https://b.com/m.js", "js", "JavaScript", "gql`query Parts { id }`"),
+            (16, "https://a.com/sitemap.xml", "xml", "XML", "<urlset><url><loc>https://a.com/api/listed</loc></url></urlset>"),
+        ],
+        "artifact_id long, url string, kind string, source_kind string, body string",
+    )
+    log = spark.createDataFrame([(7, "https://a.com/zz", "PUT", "xhr", 204, "text/plain")], "request_id long, url string, method string, resource_type string, status int, content_type string")
+    responses = spark.createDataFrame([("https://a.com/", {"X-Api-Url": "https://api.a.com/api/header"})], "url string, headers map<string,string>")
+    captures = spark.createDataFrame([("https://a.com/", {"c": "https://api.a.com/api/cookie"})], "url string, cookies map<string,string>")
+    got = {(r["method"], r["url"]): r for r in scan.observations(pages, arts, log, responses, captures).collect()}
+    urls = {u for _, u in got}
+    assert {f"https://api.a.com/api/{x}" for x in ("conf", "from-xml", "from-yaml", "header", "cookie")} <= urls
+    assert "https://api.a.com/api/told" not in urls and ("GET", "https://a.com/op") in got
+    assert got[("PUT", "https://a.com/zz")]["status_code"] == 204 and got[("PUT", "https://a.com/zz")]["type"] == "REST"
+    assert got[("POST", "https://b.com/graphql")]["tags"] == ["graphql:api", "query:Parts"]
+    assert got[("GET", "https://a.com/api/listed")]["source"] == "sitemap.xml"
+    assert scan.scan(pages, arts, spark.createDataFrame([], "url string"), log, responses, captures).where("url like '%/zz'").count() == 1
+
+
 def test_crawl_is_bounded(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "e"), ("e", "a")], "page_url string, url string")
     captured = spark.createDataFrame([("a",), ("b",), ("c",)], "url string")
