@@ -9,13 +9,15 @@ class FuzzyTrie:
     terms: term to whether it is a stem (any ending may follow). A state is the set of
     (trie node, edits used) an automaton of all terms can be in; steps are found once and
     remembered. A word that fits no term leaves the automaton after a few letters.
+    never: words that are no near forms, such as common words one edit away from a short term; exact: terms without near forms.
     """
 
     EXACT, NEAR = 0, 1
 
-    def __init__(self, terms: dict[str, bool], least_near: int = 6):
+    def __init__(self, terms: dict[str, bool], least_near: int = 1, never: frozenset[str] = frozenset(), exact: frozenset[str] = frozenset()):
         self.terms = dict(sorted(terms.items()))
         self.least_near = least_near
+        self.never, self.exact = never, exact
         self._next: list[dict[str, int]] = [{}]
         self._whole: list[str | None] = [None]
         self._stem: list[str | None] = [None]
@@ -44,7 +46,7 @@ class FuzzyTrie:
             self._sets.append(members)
             self._step.append({})
             for out, names in ((self._final, self._whole), (self._begun, self._stem)):
-                ends = sorted((e, names[node]) for node, e in members if names[node] and (not e or len(names[node]) >= self.least_near))
+                ends = sorted((e, names[node]) for node, e in members if names[node] and (not e or (len(names[node]) >= self.least_near and names[node] not in self.exact)))
                 out.append(ends[0] if ends else None)
         return self._number[members]
 
@@ -62,6 +64,10 @@ class FuzzyTrie:
 
     def find(self, word: str) -> tuple[int, str] | None:
         """(EXACT or NEAR, term) of the best match, or None."""
+        found = self._best(word)
+        return None if found is not None and found[0] == self.NEAR and word in self.never else found
+
+    def _best(self, word: str) -> tuple[int, str] | None:
         state, best = self._start, self._begun[self._start]
         for c in word:
             to = self._step[state].get(c)

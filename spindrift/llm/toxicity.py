@@ -4,11 +4,15 @@
    held-out fold, none over `FIT_CHARS` characters) gives the lexicon: words and word beginnings that
    many toxic and hardly any other documents hold. A beginning that goes on in many ways is a stem.
 2. Every word of every text goes through the trie of the lexicon intersected with
-   Levenshtein automata (fuzzy.py), which finds the terms and what is one edit away from them.
+   Levenshtein automata (fuzzy.py), which finds the terms, short ones too, and what is one edit away
+   from them, but for words that the other documents of the sample hold (`oron` is no misspelled `moron`),
+   and for terms whose near forms in one half of those, unknown to the other half, don't tell as much as a term must.
 3. Each hit is looked at in a window of `CONTEXT` words: inside quotation marks it counts as
    quotation, else as abuse.
 4. A logistic model over the counts of exact and near, quoted and abusive hits gives the score;
-   it is fitted on the same sample. Only the text is an input.
+   it is fitted on the same sample, where near forms of either half of the other documents are judged by the
+   words of the other half, as new texts are. Each text with exact hits also counts once with those hits
+   as near ones, since labels may hold no misspellings. Only the text is an input.
 
 Defined results: null and empty texts have no hits and get the score of no hits; a null doc_id counts
 as held out; of several labels of a document the largest counts, null labels none; without labels of both
@@ -165,11 +169,43 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[FuzzyTrie, np.ndarray] | No
     toxic, other = ([r["text"] for r in drawn if r["toxic"] is flag] for flag in (True, False))
     if not toxic or not other:
         return None
-    trie = FuzzyTrie(learn_lexicon(toxic, other))
-    scorer = Scorer(trie)
-    x = np.asarray([scorer.features(t) for t in (*toxic, *other)])
+    terms = learn_lexicon(toxic, other)
+    seen = [near_words(terms, toxic, other[k::2]) for k in (0, 1)]
+    never = near_words(terms, toxic, other)
+    exact = exact_only(terms, seen, toxic, other)
+    halves = [Scorer(FuzzyTrie(terms, never=seen[1 - k], exact=exact)) for k in (0, 1)]
+    whole = Scorer(FuzzyTrie(terms, never=never, exact=exact))
+    x = [whole.features(t) for t in toxic] + [halves[k % 2].features(t) for k, t in enumerate(other)]
     y = np.r_[np.ones(len(toxic)), np.zeros(len(other))]
-    return FuzzyTrie(trie.terms), _logistic(x, y)
+    misspelled = [(as_near(f), flag) for f, flag in zip(x, y) if f[0] or f[3]]
+    x, y = np.asarray(x + [f for f, _ in misspelled]), np.r_[y, [flag for _, flag in misspelled]]
+    return FuzzyTrie(terms, never=never, exact=exact), _logistic(x, y)
+
+
+def near_words(terms: dict[str, bool], toxic: list[str], other: list[str]) -> frozenset[str]:
+    """Near forms that other documents hold, unless far more of the toxic ones do."""
+    trie = FuzzyTrie(terms)
+    words = lambda texts: Counter(w for t in texts for w in set(_WORD.findall(t.lower())))
+    here, there = words(toxic), words(other)
+    rare = lambda w: here[w] / len(toxic) < LEAST_LIFT * there[w] / len(other)
+    return frozenset(w for w in there if (hit := trie.find(w)) is not None and hit[0] == FuzzyTrie.NEAR and rare(w))
+
+
+def exact_only(terms: dict[str, bool], seen: list[frozenset[str]], toxic: list[str], other: list[str]) -> frozenset[str]:
+    """Terms whose new near forms are so common in other documents that they lack a term's lift."""
+    tries = [FuzzyTrie(terms, never=seen[1 - k]) for k in (0, 1)]
+    plain = FuzzyTrie(terms)
+    hits = lambda trie, t, kind: {hit[1] for w in set(_WORD.findall(t.lower())) if (hit := trie.find(w)) is not None and hit[0] == kind}
+    new = Counter(term for k, t in enumerate(other) for term in hits(tries[k % 2], t, FuzzyTrie.NEAR))
+    held = Counter(term for t in toxic for term in hits(plain, t, FuzzyTrie.EXACT))
+    return frozenset(t for t in terms if held[t] / len(toxic) < LEAST_LIFT * new[t] / len(other))
+
+
+def as_near(features: list[float]) -> list[float]:
+    """The features of a text if its exact hits were misspelled."""
+    _, abuse, _, quote, _, near, near_quote = np.expm1(features)
+    near, near_quote = near + abuse, near_quote + quote
+    return [0.0, 0.0, 0.0, 0.0, float(near > 0.5), float(np.log1p(near)), float(np.log1p(near_quote))]
 
 
 def score(docs: DataFrame, model: tuple[FuzzyTrie, np.ndarray] | None) -> DataFrame:
@@ -177,12 +213,12 @@ def score(docs: DataFrame, model: tuple[FuzzyTrie, np.ndarray] | None) -> DataFr
     each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id").cast("long")).alias("held_out"), F.col("text").cast("string").alias("text"))
     if model is None:
         return each.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    terms, weights = model[0].terms, model[1]
+    terms, never, exact, weights = model[0].terms, model[0].never, model[0].exact, model[1]
     held: list[Scorer] = []
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not held:
-            held.append(Scorer(FuzzyTrie(terms)))
+            held.append(Scorer(FuzzyTrie(terms, never=never, exact=exact)))
         x = np.asarray([held[0].features(t or "") for t in batch.column(2).to_pylist()])
         p = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -700, 700)))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])

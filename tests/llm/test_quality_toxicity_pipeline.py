@@ -115,6 +115,24 @@ def test_toxicity_held_out(spark):
     assert none.where("score <> 0").count() == 0
 
 
+def test_misspelled_short_terms_are_toxic(spark):
+    r = random.Random(5)
+    vocab = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "lmnrst"] + ["slum", "oron"]
+    rows, labels = [], []
+    for k in range(700):
+        words = [r.choice(vocab) for _ in range(40)]
+        if k % 4 == 0:
+            for _ in range(3):
+                words[r.randrange(40)] = r.choice(["scum", "moron", "idiot", "clown"])
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(k % 4 == 0)))
+    clean = " ".join(r.choice(vocab) for _ in range(30))
+    rows += [(9000, f"{clean} scumm idiott clwn morron {clean}"), (9001, f"{clean} slum oron {clean}")]
+    got = {g["doc_id"]: g["predicted"] for g in toxicity.scored(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert got[9000] == 1 and got[9001] == 0
+    assert sum(got[k] == int(k % 4 == 0) for k in range(700)) >= 0.97 * 700
+
+
 def test_pipeline_stages(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     r = random.Random(7)
