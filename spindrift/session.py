@@ -37,12 +37,14 @@ def ship(spark: SparkSession) -> None:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder every executor can see, as `spark.checkpoint.dir` names it.
 
-    Where the setting is missing (tests, local runs) a folder of our own is
-    used; a cluster must name one.
+    Where the setting is missing a local run uses a folder of its own; a cluster,
+    whose executors don't share one, must name it.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_scratch:
         _own_scratch[app] = "file://" + tempfile.mkdtemp(prefix="spindrift-scratch-")
@@ -74,4 +76,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._spindrift_path = path
+    return stored
+
+
+def stored_at(stored: DataFrame) -> str:
+    """Where a table that `materialize` gave lies."""
+    return stored._spindrift_path
+
+
+def release(*stored: DataFrame) -> None:
+    """Delete tables that `materialize` gave, once nothing that will still run reads them."""
+    for df in stored:
+        _forget(df.sparkSession, df._spindrift_path)
