@@ -13,7 +13,7 @@ from __future__ import annotations
 import gc
 import json
 import re
-from bisect import bisect_right
+from collections import defaultdict
 from pathlib import Path
 
 import numpy as np
@@ -24,7 +24,7 @@ _NUMBERS = "0-9²³¹¼½¾"
 _SPACE = "\t-\r \x85\xa0"
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACE}{_LETTERS}{_NUMBERS}]+")
 LONGEST_MERGED = 64  # bytes; longer words go to the library
-REMEMBERED = 300_000  # chunks kept by a worker; beyond that it starts anew
+REMEMBERED = 600_000  # chunks kept by a worker; beyond that, those of the batch at hand
 NO_RANK = np.int32(1 << 30)
 
 
@@ -133,16 +133,13 @@ class WordBpe:
         words = {c for c in chunks if c.isalpha()}
         for _, pieces in mixed:
             words.update(pieces)
-        raw = {w: w.encode() for w in words.difference(known)}
-        by_size = sorted(raw, key=lambda w: len(raw[w]))
-        sizes = [len(raw[w]) for w in by_size]
-        at = 0
-        while at < len(by_size):
-            width = sizes[at]
-            end = bisect_right(sizes, width) if width <= LONGEST_MERGED else len(sizes)
-            group = by_size[at:end]
-            known.update(zip(group, self._merge_all([raw[w] for w in group]) if width <= LONGEST_MERGED else map(self._asked, group)))
-            at = end
+        by_size: defaultdict[int, list[tuple[str, bytes]]] = defaultdict(list)
+        for w in words.difference(known):
+            raw = w.encode()
+            by_size[len(raw)].append((w, raw))
+        for width, group in by_size.items():
+            names = [w for w, _ in group]
+            known.update(zip(names, self._merge_all([raw for _, raw in group]) if width <= LONGEST_MERGED else map(self._asked, names)))
         for c, pieces in mixed:
             known[c] = b"".join([known[p] for p in pieces])
 
@@ -170,7 +167,7 @@ class WordBpe:
                 new.update(chunks)
             split.append(chunks)
         if len(self._chunks) > REMEMBERED:  # before looking, so that nothing this batch needs is dropped
-            self._chunks.clear()
+            self._chunks = {c: self._chunks[c] for c in new.intersection(self._chunks)}
         fresh = new.difference(self._chunks)
         if fresh:
             self._learn(fresh)

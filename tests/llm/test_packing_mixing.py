@@ -28,27 +28,61 @@ def test_ids_are_the_librarys(library):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-def test_plan_is_best_fit_decreasing():
+def decreasing(sizes, cap):
+    """The gaps that best fit leaves, a piece at a time."""
+    gaps = []
+    for s in sorted(sizes, reverse=True):
+        fit = [g for g in gaps if g >= s]
+        if fit:
+            gaps.remove(min(fit))
+            gaps.append(min(fit) - s)
+        else:
+            gaps.append(cap - s)
+    return gaps
+
+
+def rounds(sizes, cap):
+    """The supersteps in one place: range by range, then across, as superstep() does with tables."""
+    state, steps, placed = [(packing.PIECE, n, 0, c, 0, 0, 0) for n, c in Counter(sizes).items()], 0, []
+    least = -1
+    while left := [r for r in state if r[0] == packing.PIECE]:
+        top = max(r[1] for r in left)
+        if least < 0 or top <= least:
+            least = int(top / packing.CLASS) if top > cap // packing.LAST_PART else 0
+        idle, ranges = [r for r in state if r[1] <= least], defaultdict(list)
+        for r in state:
+            if r[1] > least:
+                ranges[(r[1] - least - 1) * packing.RANGES // (cap - least)].append(r)
+        rows = packing.sweep([x for part in ranges.values() for x in packing.sweep(part, cap)], cap)
+        rows = [(packing.GAP, *r[1:]) if r[0] == packing.CHANGED else r for r in rows]
+        left = [r for r in rows if r[0] == packing.PIECE]
+        steps += 1
+        if left and max((r[1] for r in rows if r[0] == packing.GAP), default=0) < min(r[1] for r in left):
+            rows = [r for r in rows if r[0] != packing.PIECE] + packing.open_sequences(left, cap, steps << 40)
+        placed += [r for r in rows if r[0] == packing.PLACED]
+        state = idle + [r for r in rows if r[0] != packing.PLACED]
+    return placed, steps
+
+
+def sequences(placed):
+    """Pieces by rank, and (offset, length) by sequence."""
+    ranks, used = Counter(), defaultdict(list)
+    for _, length, first, count, rank, offset, deep in sorted(placed, key=lambda r: r[4]):
+        assert ranks[length] == rank
+        ranks[length] += count * deep
+        for k in range(count * deep):
+            used[first + k % count].append((offset + k // count * length, length))
+    return ranks, used
+
+
+def test_supersteps_place_all_and_come_near_best_fit():
     r = random.Random(1)
-    for _ in range(60):
-        cap = r.choice([10, 37, 100])
-        sizes = [r.randint(1, cap) for _ in range(r.randint(0, 120))]
-        plan, opened = packing.best_fit_plan(list(Counter(sizes).items()), cap)
-        gaps = []  # the same, a piece at a time
-        for s in sorted(sizes, reverse=True):
-            fit = [g for g in gaps if g >= s]
-            if fit:
-                gaps.remove(min(fit))
-                gaps.append(min(fit) - s)
-            else:
-                gaps.append(cap - s)
-        assert opened == len(gaps)
-        ranks, used = Counter(), defaultdict(list)
-        for length, a, b, first, at in plan:
-            assert ranks[length] == a
-            ranks[length] = b
-            for k in range(b - a):
-                used[first + k].append((at, length))
+    ours = best = 0
+    for k in range(80):
+        cap = r.choice([10, 37, 100, 4096])
+        sizes = [max(1, int(cap * r.random() ** r.choice([1, 3]))) for _ in range(r.randint(0, 300))]
+        placed, _ = rounds(sizes, cap)
+        ranks, used = sequences(placed)
         assert ranks == Counter(sizes)
         for parts in used.values():
             at = 0
@@ -56,6 +90,18 @@ def test_plan_is_best_fit_decreasing():
                 assert offset == at
                 at += length
             assert at <= cap
+        ours, best = ours + len(used), best + len(decreasing(sizes, cap))
+    assert ours <= 1.02 * best
+
+
+def test_plan_of_the_cluster_is_the_same(spark):
+    r = random.Random(2)
+    sizes = [r.randint(1, 200) for _ in range(400)] + [r.randint(1, 20) for _ in range(300)]
+    lengths_of = spark.createDataFrame(list(Counter(sizes).items()), "length long, n long")
+    got = [tuple(x) for x in packing.best_fit_plan(lengths_of, 256).collect()]
+    ranks, used = sequences(got)
+    assert ranks == Counter(sizes) and all(sum(n for _, n in parts) <= 256 for parts in used.values())
+    assert len(used) == len(sequences(rounds(sizes, 256)[0])[1])
 
 
 def test_pack_round_trip(spark, library):
