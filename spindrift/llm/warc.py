@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_path, materialize
 from .arrowio import slices
+from .joins import left_join_split
 from .zipstore import ZipRanges
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -199,12 +200,17 @@ def _records(package: ZipRanges, payloads: bool):
 
 
 def marked_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, body and refers_to (null: a response) of every row."""
+    """page_id, url, body and refers_to (null: a response) of every row.
+
+    Which payloads repeat is decided on hashes, lengths and ids alone. A payload that a great share of all pages has is one row
+    of a broadcast of at most `MOST_HOT` rows, so that its pages aren't brought together.
+    """
     body = F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b""))
     each = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("body"))
     each = each.withColumn("_same", F.unhex(F.concat(F.sha1("body"), F.substring(F.sha2("body", 256), 1, 24)))).withColumn("_n", F.length("body"))
-    largest = each.groupBy("_same", "_n").agg(F.max("page_id").alias("_first"), F.count("*").alias("_rows")).where((F.col("_rows") > 1) & (F.col("_n") >= min_bytes)).drop("_rows")
-    joined = each.join(largest, ["_same", "_n"], "left")
+    largest = each.groupBy("_same", "_n").agg(F.max("page_id").alias("_first"), F.count("*").alias("_rows"))
+    repeated = materialize(largest.where((F.col("_rows") > 1) & (F.col("_n") >= min_bytes)), "repeated-payloads")
+    joined = left_join_split(each, repeated, ["_same", "_n"], "_rows", each.count(), [F.col("page_id"), F.col("url")])
     return joined.select("page_id", "url", "body", F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("refers_to"))
 
 
@@ -215,9 +221,9 @@ def archive(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, pac
 
 
 def archived_and_read(pages: DataFrame, min_bytes: int = 0, payloads: bool = False) -> DataFrame:
-    """Write all pages, then read every record back."""
+    """Write all pages, then read every record back: a task to a package, which adaptive execution doesn't put together."""
     packages, folder = archive(pages, None, min_bytes)
-    return read_packages(packages.repartition(F.col("path")), folder, payloads)
+    return read_packages(packages.repartition(max(1, packages.count()), "path"), folder, payloads)
 
 
 #: What the archives say, straight from the pages; base 32 by 20 bits, that is five hex digits, at a time.
