@@ -13,23 +13,43 @@ INTEREST = {
     "WebSocket": 68, "SOAP": 60, "Stream/SSE": 58, "Tile Server": 40, "Static JSON": 30, "Unknown": 10,
 }
 CONFIDENCE = {"low": 0, "medium": 1, "high": 2}
-SWAGGER = (
-    "swagger.json swagger.yaml swagger.yml openapi.json openapi.yaml openapi.yml /swagger-ui /swagger/ /api-docs /apidocs /redoc "
-    "/v2/api-docs /v3/api-docs /openapi"
-).split()
-GRAPHQL = "/graphql /graphiql /gql /altair /playground /subscriptions".split()
-ARCGIS = "/mapserver /featureserver /sceneserver /geometryserver /gpserver /geocodeserver /geodataserver /globeserver /streamserver /arcgis/rest/".split()
-OGC_SERVICES = "wms wmts wfs wcs csw wps".split()
-OGC = "/geoserver /ows /wms /wmts /wfs /wcs /mapserv /qgis".split()
-TILES = "{z} {x} {y} {-y} /tiles/ /tile/ .pbf .mvt /wmts".split()
-AUTH = (
-    "login signin sign-in logout signout register signup oauth oauth2 token authorize auth sso saml session password forgot reset verify "
-    "otp mfa 2fa refresh identity jwt openid-configuration connect"
-).split()
-STREAMS = "sse stream streams eventsource event-stream livestream".split()
-REST = "/api/ /api? /apis/ /rest/ /restapi /services/ /service/ /rpc/ /ajax/ /query /graph/ /gateway/ /backend/ /data/".split()
-STATIC = ".json .geojson .topojson .xml .csv .yaml .yml".split()
-MUTATING = "create update delete remove insert add save submit upload edit modify post put patch send apply".split()
+SWAGGER = [
+    "swagger.json", "swagger.yaml", "swagger.yml", "openapi.json", "openapi.yaml", "openapi.yml", "/swagger-ui", "/swagger/", "/api-docs",
+    "/apidocs", "/redoc", "/v2/api-docs", "/v3/api-docs", "/openapi",
+]
+GRAPHQL = [
+    "/graphql", "/graphiql", "/gql", "/altair", "/playground", "/subscriptions",
+]
+ARCGIS = [
+    "/mapserver", "/featureserver", "/sceneserver", "/geometryserver", "/gpserver", "/geocodeserver", "/geodataserver", "/globeserver",
+    "/streamserver", "/arcgis/rest/",
+]
+OGC_SERVICES = [
+    "wms", "wmts", "wfs", "wcs", "csw", "wps",
+]
+OGC = [
+    "/geoserver", "/ows", "/wms", "/wmts", "/wfs", "/wcs", "/mapserv", "/qgis",
+]
+TILES = [
+    "{z}", "{x}", "{y}", "{-y}", "/tiles/", "/tile/", ".pbf", ".mvt", "/wmts",
+]
+AUTH = [
+    "login", "signin", "sign-in", "logout", "signout", "register", "signup", "oauth", "oauth2", "token", "authorize", "auth", "sso", "saml",
+    "session", "password", "forgot", "reset", "verify", "otp", "mfa", "2fa", "refresh", "identity", "jwt", "openid-configuration", "connect",
+]
+STREAMS = [
+    "sse", "stream", "streams", "eventsource", "event-stream", "livestream",
+]
+REST = [
+    "/api/", "/api?", "/apis/", "/rest/", "/restapi", "/services/", "/service/", "/rpc/", "/ajax/", "/query", "/graph/", "/gateway/", "/backend/",
+    "/data/",
+]
+STATIC = [
+    ".json", ".geojson", ".topojson", ".xml", ".csv", ".yaml", ".yml",
+]
+MUTATING = [
+    "create", "update", "delete", "remove", "insert", "add", "save", "submit", "upload", "edit", "modify", "post", "put", "patch", "send", "apply",
+]
 VENDORS = (
     ("cf-mitigated", "", "Cloudflare"), ("cf-ray", "", "Cloudflare"), ("cf-chl-bypass", "", "Cloudflare"), ("server", "cloudflare", "Cloudflare"),
     ("x-sucuri-id", "", "Sucuri"), ("x-sucuri-block", "", "Sucuri"), ("x-iinfo", "", "Imperva/Incapsula"), ("x-cdn", "incapsula", "Imperva/Incapsula"),

@@ -15,25 +15,34 @@ from pyspark.sql import functions as F
 _SPLIT = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 # fixed values: suffixes of two labels under which names are registered
-SUFFIXES = (
-    "co.uk org.uk ac.uk gov.uk me.uk net.uk com.tr org.tr net.tr gov.tr edu.tr bel.tr k12.tr av.tr com.au net.au org.au gov.au edu.au "
-    "com.br com.cn com.mx com.ar com.sg com.hk com.tw co.jp or.jp ne.jp ac.jp go.jp co.kr or.kr go.kr co.in net.in org.in gov.in ac.in "
-    "co.za org.za gov.za co.nz net.nz govt.nz com.es gob.es com.pl gov.pl com.ua gov.ua com.sa gov.sa com.eg gov.eg com.my gov.my"
-).split()
+SUFFIXES = [
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "me.uk", "net.uk", "com.tr", "org.tr", "net.tr", "gov.tr", "edu.tr", "bel.tr", "k12.tr", "av.tr", "com.au",
+    "net.au", "org.au", "gov.au", "edu.au", "com.br", "com.cn", "com.mx", "com.ar", "com.sg", "com.hk", "com.tw", "co.jp", "or.jp", "ne.jp", "ac.jp",
+    "go.jp", "co.kr", "or.kr", "go.kr", "co.in", "net.in", "org.in", "gov.in", "ac.in", "co.za", "org.za", "gov.za", "co.nz", "net.nz", "govt.nz",
+    "com.es", "gob.es", "com.pl", "gov.pl", "com.ua", "gov.ua", "com.sa", "gov.sa", "com.eg", "gov.eg", "com.my", "gov.my",
+]
 # fixed values: path markers that keep a weak candidate
-API_MARKERS = (
-    "/api /rest /graphql /gql /v1/ /v2/ /v3/ /v4/ /services/ /service/ /rpc /ajax /json /data/ /query mapserver featureserver imageserver "
-    "sceneserver vectortileserver geometryserver gpserver geoserver geocode /ows /wms /wfs /wmts /wcs getcapabilities /oauth /token /login "
-    "/auth /swagger /openapi /api-docs /.well-known/ /sitemap /feed /rss /upload /download /export /search /session"
-).split()
+API_MARKERS = [
+    "/api", "/rest", "/graphql", "/gql", "/v1/", "/v2/", "/v3/", "/v4/", "/services/", "/service/", "/rpc", "/ajax", "/json", "/data/", "/query",
+    "mapserver", "featureserver", "imageserver", "sceneserver", "vectortileserver", "geometryserver", "gpserver", "geoserver", "geocode", "/ows",
+    "/wms", "/wfs", "/wmts", "/wcs", "getcapabilities", "/oauth", "/token", "/login", "/auth", "/swagger", "/openapi", "/api-docs", "/.well-known/",
+    "/sitemap", "/feed", "/rss", "/upload", "/download", "/export", "/search", "/session",
+]
 # fixed values: extensions
-BINARY = "png jpg jpeg gif webp avif bmp ico svg woff woff2 ttf otf eot mp4 webm mp3 ogg wav pdf zip gz br wasm".split()
-ANALYSABLE = "js mjs cjs jsx ts tsx map json geojson topojson css xml yaml yml txt webmanifest".split()
+BINARY = [
+    "png", "jpg", "jpeg", "gif", "webp", "avif", "bmp", "ico", "svg", "woff", "woff2", "ttf", "otf", "eot", "mp4", "webm", "mp3", "ogg", "wav",
+    "pdf", "zip", "gz", "br", "wasm",
+]
+ANALYSABLE = [
+    "js", "mjs", "cjs", "jsx", "ts", "tsx", "map", "json", "geojson", "topojson", "css", "xml", "yaml", "yml", "txt", "webmanifest",
+]
 PAGES = ["", "html", "htm", "php", "asp", "aspx", "jsp", "do", "action"]
 # fixed values: paths of delivery networks and firewalls
-INFRASTRUCTURE = (
-    "/cdn-cgi/ /_incapsula_resource /_sucuri/ /akam/ /_vercel/insights /_vercel/speed-insights /__nextjs_original-stack-frame /.well-known/traffic-advice"
-).split()
+INFRASTRUCTURE = [
+    "/cdn-cgi/", "/_incapsula_resource", "/_sucuri/", "/akam/", "/_vercel/insights", "/_vercel/speed-insights", "/__nextjs_original-stack-frame",
+    "/.well-known/traffic-advice",
+]
+# fixed values: what hosts look like, and what code does that no URL holds
 HOST = r"(?i)^(?:(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}|\d{1,3}(?:\.\d{1,3}){3}|[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?)$"
 CODE = r"=\s*function|function\s*\(|\)\s*\{|\}\s*[;)(]|=>|;\s*[A-Za-z_$][\w$]*\s*[.(]|\breturn\b|\btypeof\b|\binstanceof\b|\bprototype\b"
 
@@ -286,5 +295,12 @@ def slugify(target: str) -> str:
     return name[:80] or "scan"
 
 
+def normalise_target(given: Column) -> Column:
+    """What a user gives as a target, as an address; null if it isn't one of the web."""
+    v = F.trim(given)
+    whole = normalize(F.when(v.contains("://"), v).otherwise(F.concat(F.lit("https://"), v)))
+    return F.when((v != "") & whole.rlike("^https?://"), whole)
+
+
 def to_websocket(url: Column) -> Column:
     return F.regexp_replace(url, "^http", "ws")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import url as U
 from ..functions.classify import classify, guess_method
-from .extract import ogc_base, ogc_service
+from .extract import ARCGIS_KINDS, ARCGIS_TYPES, ogc_base, ogc_service
 
 FIELDS = "artifact_id long, ord int, source string, candidate string, method string, kind string, evidence string, confidence string, params array<string>, tags array<string>, strip boolean"
 _ARROW = pa.schema(
@@ -26,9 +26,7 @@ _ARROW = pa.schema(
     + [("params", pa.list_(pa.string())), ("tags", pa.list_(pa.string())), ("strip", pa.bool_())]
 )
 # fixed values: verbs of OpenAPI, and what ArcGIS services offer
-OPENAPI_VERBS = "get put post delete options head patch trace".split()
-ARCGIS_TYPES = {"imageserver": "Image Service", "vectortileserver": "Tile Server"}
-ARCGIS_KINDS = "mapserver featureserver imageserver sceneserver vectortileserver geometryserver gpserver geocodeserver geodataserver globeserver streamserver".split()
+OPENAPI_VERBS = ["get", "put", "post", "delete", "options", "head", "patch", "trace"]
 ARCGIS_OPERATIONS = {
     "mapserver": ("export", "identify", "find", "legend", "layers"),
     "featureserver": ("query", "queryRelatedRecords", "layers"),
@@ -37,8 +35,8 @@ ARCGIS_OPERATIONS = {
     "geocodeserver": ("findAddressCandidates", "suggest", "reverseGeocode"),
     "geometryserver": ("project", "buffer", "areasAndLengths"),
 }
-OGC_OPERATIONS = "getmap getfeature getcapabilities getfeatureinfo gettile describefeaturetype getcoverage describecoverage transaction getlegendgraphic getrecords execute describeprocess".split()
-OGC_LAYERS = "layer featuretype coveragesummary coverage record".split()
+OGC_OPERATIONS = ["getmap", "getfeature", "getcapabilities", "getfeatureinfo", "gettile", "describefeaturetype", "getcoverage", "describecoverage", "transaction", "getlegendgraphic", "getrecords", "execute", "describeprocess"]
+OGC_LAYERS = ["layer", "featuretype", "coveragesummary", "coverage", "record"]
 
 
 def _row(source: str, candidate: str, evidence: str, confidence: str = "high", method: str | None = None, kind: str | None = None, params=(), tags=(), strip: bool = True) -> dict:
@@ -60,13 +58,33 @@ def robots(text: str, url: str) -> list[dict]:
     return out
 
 
-def sitemap(text: str, url: str) -> list[dict]:
-    """Locations by local name; a broken document still gives those a pattern finds."""
+def sitemap_entries(text: str) -> list[tuple[str, bool]]:
+    """Locations by local name, and whether each is a sitemap of an index; a broken document still gives those a pattern finds."""
+    local = lambda e: str(e.tag).rpartition("}")[2].lower()
     try:
-        found = [(e.text or "").strip() for e in ElementTree.fromstring(text.strip()).iter() if str(e.tag).rpartition("}")[2] == "loc"]
+        root = ElementTree.fromstring(text.strip())
     except ElementTree.ParseError:
-        found = [x.strip() for x in re.findall(r"<(?:\w+:)?loc[^>]*>\s*([^<]+?)\s*<", text)]
-    return [_row("sitemap.xml", x, "sitemap", "medium") for x in found if x]
+        index = "<sitemapindex" in text.lower()
+        return [(x, index) for x in re.findall(r"<(?:\w+:)?loc[^>]*>\s*([^<]+?)\s*<", text)]
+    index = local(root) == "sitemapindex"
+    found = [((e.text or "").strip(), index or local(above) == "sitemap") for above in root.iter() for e in above if local(e) == "loc"]
+    return [(x, nested) for x, nested in found if x]
+
+
+def sitemap(text: str, url: str) -> list[dict]:
+    return [_row("sitemap.xml", x, "sitemap", "medium") for x, _ in sitemap_entries(text)]
+
+
+def sitemap_locations(artifacts: DataFrame) -> DataFrame:
+    """url, ord, location and nested of every entry of sitemaps (url, body)."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(u, k, x, n) for u, text in zip(*(c.to_pylist() for c in batch.columns)) for k, (x, n) in enumerate(sitemap_entries(text or ""))]
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 4, kinds)], names=["url", "ord", "location", "nested"])
+
+    return artifacts.select("url", "body").mapInArrow(run, "url string, ord int, location string, nested boolean")
 
 
 def manifest(text: str, url: str) -> list[dict]:
@@ -317,13 +335,16 @@ def network_endpoints(log: DataFrame) -> DataFrame:
     return rows.select("request_id", F.col("norm").alias("url"), F.upper("method").alias("method"), "type", F.col("status").alias("status_code"), "content_type", F.lit("high").alias("confidence"), F.array(F.lit("observed"), F.concat(F.lit("resource:"), F.col("resource_type"))).alias("tags"))
 
 
-def source_map_files(artifacts: DataFrame, most: int = 4000) -> DataFrame:
-    """Embedded sources of source maps, plain or in sections, as artefacts of their own; packages of others are left out."""
+def source_map_files(artifacts: DataFrame, most: int | None = 4000) -> DataFrame:
+    """Embedded sources of source maps, plain or in sections, as artefacts of their own; packages of others are left out.
+
+    `most` is the reference's number of sources a map; None takes all.
+    """
     shape = "struct<sourceRoot:string,sources:array<string>,sourcesContent:array<string>,sections:array<struct<map:struct<sources:array<string>,sourcesContent:array<string>>>>>"
     maps = artifacts.where("kind = 'map'").select("artifact_id", "url", F.from_json("body", shape).alias("m"))
     none = F.array().cast("array<string>")
     merged = lambda own, inner: F.concat(F.coalesce(F.col(f"m.{own}"), none), F.flatten(F.transform(F.coalesce(F.col("m.sections"), F.expr(f"cast(array() as {shape})".replace(f"cast(array() as {shape})", "cast(null as array<struct<map:struct<sources:array<string>,sourcesContent:array<string>>>>)"))), lambda s: F.coalesce(s["map"][inner], none))))
     sources, contents = F.coalesce(merged("sources", "sources"), F.col("m.sources")), F.coalesce(merged("sourcesContent", "sourcesContent"), F.col("m.sourcesContent"))
-    files = maps.select("artifact_id", "url", F.posexplode(F.slice(F.arrays_zip(sources.alias("name"), contents.alias("body")), 1, most)).alias("ord", "f"))
+    files = maps.select("artifact_id", "url", F.posexplode(F.slice(F.arrays_zip(sources.alias("name"), contents.alias("body")), 1, most or 1 << 30)).alias("ord", "f"))
     files = files.select("artifact_id", "url", "ord", "f.name", "f.body").where("trim(body) <> '' and instr(name, 'node_modules') = 0")
     return files.withColumn("origin", F.concat(F.lit("origin:"), F.regexp_extract("name", "([^/]*)$", 1)))

@@ -1,36 +1,50 @@
-"""From matches in artefacts to observations: cleaning, resolving, filtering, classifying, services.
+"""From text to observations: one Arrow pass finds the rules' matches and carries each to a classified URL.
 
-All of it is column expressions over the matches; the only Python is the pass that finds them.
+Everything an observation needs is in its own artefact: the text, its address, the base addresses it configures, the variables it
+assigns. So the pass holds nothing but one text, and no join or shuffle follows it; the merge is the first shuffle of a scan.
+Cleaning, resolving and classifying go by functions/scalar.py, the scalar form of the column functions.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import scalar as T
 from ..functions import url as U
-from ..functions.classify import classify, guess_method
-from ..session import materialize
+from ..functions.classify import SWAGGER, classify
 from . import rules
 
 FANOUT = 2  # bases that a bare path is tried on
 BASES = 5  # base URLs harvested from an artefact
 COMMENTED = ["JavaScript", "InlineScript", "SourceMap", "CSS"]
 # fixed values: hosts that are named without being called
-NOISE_HOSTS = (
-    "www.w3.org schema.org www.schema.org purl.org creativecommons.org gmpg.org ogp.me xmlns.com docs.oasis-open.org opengis.net www.opengis.net "
-    "json-schema.org unpkg.com cdn.jsdelivr.net cdnjs.cloudflare.com fonts.googleapis.com fonts.gstatic.com www.googletagmanager.com "
-    "www.google-analytics.com connect.facebook.net github.com www.npmjs.com nodejs.org reactjs.org vuejs.org developer.mozilla.org stackoverflow.com "
-    "www.gnu.org apache.org www.apache.org tools.ietf.org www.ietf.org registry.npmjs.org"
-).split()
+NOISE_HOSTS = [
+    "www.w3.org", "schema.org", "www.schema.org", "purl.org", "creativecommons.org", "gmpg.org", "ogp.me", "xmlns.com", "docs.oasis-open.org", "opengis.net", "www.opengis.net",
+    "json-schema.org", "unpkg.com", "cdn.jsdelivr.net", "cdnjs.cloudflare.com", "fonts.googleapis.com", "fonts.gstatic.com", "www.googletagmanager.com",
+    "www.google-analytics.com", "connect.facebook.net", "github.com", "www.npmjs.com", "nodejs.org", "reactjs.org", "vuejs.org", "developer.mozilla.org", "stackoverflow.com",
+    "www.gnu.org", "apache.org", "www.apache.org", "tools.ietf.org", "www.ietf.org", "registry.npmjs.org",
+]
+# fixed values: words of licences, and parts of office archives
 _LICENCE = r"(?i)(licen[cs]e|copyright|@author|bugs?|issues?|changelog|readme|documentation)"
 _ARCHIVE = (
     r"(?i)/(?:_rels|docprops|meta-inf|customxml|persons)/|/(?:xl|word|ppt|visio)/(?:media|theme|worksheets|drawings|charts|embeddings)?|/\[content_types\]\.xml$"
     r"|/(?:workbook|sharedstrings|calcchain|styles|theme\d*|app|core|custom|document|presentation|settings|fonttable|webextension|metadata|person|manifest|content|meta)\.xml$"
 )
+# fixed values: kinds of ArcGIS services, and the types of those that aren't plain
+ARCGIS_KINDS = ["mapserver", "featureserver", "imageserver", "sceneserver", "vectortileserver", "geometryserver", "gpserver", "geocodeserver", "geodataserver", "globeserver", "streamserver"]
+ARCGIS_TYPES = {"imageserver": "Image Service", "vectortileserver": "Tile Server"}
+# fixed values: consoles for GraphQL
+GRAPHQL_CONSOLES = ["/graphiql", "/altair", "/playground", "/voyager"]
 
 OBSERVED = ["method", "url", "method_observed", "type", "source", "source_url", "evidence", "confidence", "status_code", "content_type", "params", "tags", "seq"]
+SEQ = "struct<stage:int,artifact:bigint,extractor:int,ord:int,base:int>"
+OBSERVATIONS = f"method string, url string, method_observed boolean, type string, source string, source_url string, evidence string, confidence string, status_code int, content_type string, params array<string>, tags array<string>, seq {SEQ}"
 
 
 def is_noise(url: Column, evidence: Column) -> Column:
@@ -43,93 +57,217 @@ def is_noise(url: Column, evidence: Column) -> Column:
     return U.let(url, noisy)
 
 
-def has_api_signal(url: Column) -> Column:
-    return U.any_of(F.lower(url), U.API_MARKERS)
-
-
-def base_urls(matches: DataFrame) -> DataFrame:
-    """artifact_id and bases: the first different absolute URLs among configuration values."""
-    value = U.clean_candidate(F.col("value"))
-    found = U.bind(matches.where("extractor = 0 and rule like 'config:%'"), "v", value).where("(v like 'http://%' or v like 'https://%') and instr(v, '${') = 0")
-    found = U.bind(found, "base", U.normalize(F.regexp_replace("v", "/+$", ""))).where("base is not null").groupBy("artifact_id", "base").agg(F.min("ord").alias("ord"))
-    listed = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("ord", "base"))), 1, BASES), lambda b: b["base"])
-    return found.groupBy("artifact_id").agg(listed.alias("bases"))
-
-
-def _observation(m: DataFrame, url: Column, kind: Column, method: Column, observed: Column, confidence: Column, tags: Column, base: Column) -> DataFrame:
-    seq = F.struct(F.lit(2).alias("stage"), F.col("artifact_id").alias("artifact"), F.col("extractor").alias("extractor"), F.col("ord").alias("ord"), base.alias("base"))
-    none = lambda t: F.lit(None).cast(t)
-    return m.select(
-        method.alias("method"), url.alias("url"), observed.alias("method_observed"), kind.alias("type"), F.col("source_kind").alias("source"), F.col("source_url"),
-        F.coalesce(F.nullif(F.col("evidence"), F.lit("")), F.col("value")).alias("evidence"), confidence.alias("confidence"), none("int").alias("status_code"),
-        none("string").alias("content_type"), F.array().cast("array<string>").alias("params"), tags.alias("tags"), seq.alias("seq"),
-    )
-
-
-def from_matches(artifacts: DataFrame, matches: DataFrame) -> DataFrame:
-    """Observations of the general sweep: every match on its own artefact, and proven call sites on up to FANOUT bases."""
-    about = artifacts.select("artifact_id", F.col("url").alias("source_url"), "source_kind")
-    m = matches.where("extractor = 0").join(about, "artifact_id").join(base_urls(matches), "artifact_id", "left")
-    m = m.where(~(F.col("in_comment") & F.col("source_kind").isin(COMMENTED)))
-    m = U.bind(m, "raw", U.clean_candidate(F.col("value"))).where(U.is_probably_url(F.col("raw")))
-    m = U.bind(m, "cand", U.strip_placeholders(F.col("raw")))
-    fan = F.when(F.col("cand").startswith("/") & (F.col("confidence") == "high"), F.slice(F.coalesce("bases", F.array().cast("array<string>")), 1, FANOUT)).otherwise(F.array().cast("array<string>"))
-    first = U.absolutize(F.col("source_url"), F.col("cand"))
-    others = F.transform(fan, lambda b: U.absolutize(b, F.col("cand")))
-    m = m.withColumn("resolved", F.array_distinct(F.array_compact(F.concat(F.array(first), others))))
-    m = U.bind(m.select("*", F.posexplode("resolved").alias("base", "full")), "norm", U.normalize(F.col("full")))
-    m = m.where("norm is not null").where(~is_noise(F.col("norm"), F.col("evidence")))
-    m = U.bind(m, "kind", classify(F.col("norm"), F.col("rule")))
-    m = m.where(~((F.col("kind") == "Unknown") & (F.col("confidence") == "low") & ~has_api_signal(F.col("norm"))))
-    inferred = F.col("base") > 0
-    tags = F.concat(F.array(F.concat(F.lit("rule:"), F.col("rule"))), F.when(inferred, F.array(F.lit("base:inferred"))).otherwise(F.array().cast("array<string>")))
-    return _observation(
-        m, F.col("norm"), F.col("kind"), guess_method(F.col("norm"), F.col("kind"), F.col("method")), F.col("method").isNotNull() & ~inferred,
-        F.when(inferred, "medium").otherwise(F.col("confidence")), tags, F.col("base"),
-    )
-
-
-def from_calls(artifacts: DataFrame, matches: DataFrame) -> DataFrame:
-    """Fetches on all bases at high confidence, opens, and sockets: neither comments nor noise are filtered here."""
-    about = artifacts.select("artifact_id", F.col("url").alias("source_url"), "source_kind")
-    calls = matches.where("rule in ('fetch', 'XMLHttpRequest', 'new WebSocket', 'ws-url') or rule like 'var:%'").join(about, "artifact_id").join(base_urls(matches), "artifact_id", "left")
-    calls = calls.withColumn("extractor", F.when(F.col("rule") == "fetch", 2).when(F.col("rule").isin("new WebSocket", "ws-url"), 4).otherwise(3))
-    calls = U.bind(calls, "cand", U.strip_placeholders(U.clean_candidate(F.col("value")))).where(U.is_probably_url(F.col("cand")))
-    fan = F.when((F.col("rule") == "fetch") & F.col("cand").startswith("/"), F.coalesce("bases", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
-    own = U.absolutize(F.col("source_url"), F.col("cand"))
-    own = F.when((F.col("extractor") == 4) & ~F.col("cand").rlike("(?i)^wss?://"), U.to_websocket(own)).otherwise(own)
-    calls = calls.select("*", F.posexplode(F.array_distinct(F.array_compact(F.concat(F.array(own), F.transform(fan, lambda b: U.absolutize(b, F.col("cand"))))))).alias("base", "full"))
-    calls = U.bind(calls, "norm", U.normalize(F.col("full"))).where("norm is not null and (extractor <> 4 or norm like 'ws%')")
-    calls = U.bind(calls, "kind", classify(F.col("norm"), F.col("rule")))
-    observed = F.when(F.col("extractor") == 4, F.lit(False)).otherwise(F.col("method").isNotNull())
-    return _observation(calls, F.col("norm"), F.col("kind"), guess_method(F.col("norm"), F.col("kind"), F.col("method")), observed, F.col("confidence"), F.array(F.concat(F.lit("rule:"), F.col("rule"))), F.col("base"))
-
-
-def from_concatenations(artifacts: DataFrame, matches: DataFrame) -> DataFrame:
-    """base + "/path" where the base resolves in the same text: joined as written, not as a reference."""
-    about = artifacts.select("artifact_id", F.col("url").alias("source_url"), "source_kind")
-    m = matches.where("rule like 'concat:%'").join(about, "artifact_id")
-    halves = F.split("value", "\0")
-    m = U.bind(m, "norm", U.normalize(F.concat(F.get(halves, F.lit(0)), U.strip_placeholders(F.get(halves, F.lit(1)))))).where("norm is not null")
-    m = U.bind(m, "kind", classify(F.col("norm"), F.lit("concat")))
-    tags = F.array(F.lit("rule:concat"), F.concat(F.lit("base:"), F.substring("rule", 8, 100)))
-    return _observation(m, F.col("norm"), F.col("kind"), guess_method(F.col("norm"), F.col("kind")), F.lit(False), F.col("confidence"), tags, F.lit(0))
-
-
-def with_services(obs: DataFrame) -> DataFrame:
-    """Retype Swagger and GraphQL rows, and add a row for the root of each ArcGIS or OGC service."""
-    low = F.lower(U.part(F.col("url"), 3))
-    root = F.regexp_extract("url", r"(?i)^(.*?/(?:MapServer|FeatureServer|ImageServer|SceneServer|VectorTileServer|GeometryServer|GPServer|GeocodeServer|GeoDataServer|GlobeServer|StreamServer))(?:[/?]|$)", 1)
-    ogc = low.rlike(r"/(?:geoserver|mapserv|qgis|ows|wms|wfs|wcs|wmts)(?![a-z0-9])")
-    base = F.when(root != "", root).when(ogc, ogc_base(F.col("url")))
-    roots = U.bind(obs, "_root", base).where("_root is not null and _root <> url")
-    kind = classify(F.col("_root"))
-    seq = F.col("seq").withField("base", F.col("seq.base") + 1000)
-    added = roots.withColumns({"url": F.col("_root"), "type": kind, "method": F.lit("GET"), "method_observed": F.lit(False), "tags": F.array(F.lit("service:root")), "seq": seq}).select(*obs.columns)
-    return obs.unionByName(added)
-
-
-OGC_KEYS = "service request version layers layer styles style format srs crs bbox width height transparent typename typenames outputformat tilematrixset tilematrix tilerow tilecol".split()
+_SEQ = pa.struct([("stage", pa.int32()), ("artifact", pa.int64()), ("extractor", pa.int32()), ("ord", pa.int32()), ("base", pa.int32())])
+_ARROW = pa.schema(
+    [(n, pa.bool_() if n == "method_observed" else pa.string()) for n in OBSERVED[:8]]
+    + [("status_code", pa.int32()), ("content_type", pa.string()), ("params", pa.list_(pa.string())), ("tags", pa.list_(pa.string())), ("seq", _SEQ)]
+)
+_TOLD, _PARTS = re.compile(_LICENCE), re.compile(_ARCHIVE)
+_HOSTS = frozenset(NOISE_HOSTS)
+GENERAL, CONCATENATED, FETCHED, OPENED, SOCKETS, SERVICES, OPERATIONS, EMBEDDED = range(8)
+
+
+def noisy(url: str, evidence: str) -> bool:
+    """is_noise for one string."""
+    _, _, path, _ = T.split(url)
+    low = path.lower()
+    return (
+        T.host_of(url) in _HOSTS
+        or bool(_PARTS.search(path))
+        or any(m in low for m in U.INFRASTRUCTURE)
+        or ("?" not in url and T.extension(path) in U.BINARY)
+        or ("/api" not in url.lower() and bool(_TOLD.search(evidence)))
+    )
+
+
+def bases_of(found: list[tuple]) -> list[str]:
+    """The first different absolute URLs among configuration values."""
+    out: dict[str, None] = {}
+    for rule, value, *_ in found:
+        if rule.startswith("config:"):
+            v = T.clean_candidate(value)
+            if v.startswith(("http://", "https://")) and "${" not in v and (base := T.normalize(v.rstrip("/"))):
+                out[base] = None
+    return list(out)[:BASES]
+
+
+class _Text:
+    """One artefact's text, and the observations it gives, in the order in which they are merged."""
+
+    def __init__(self, key: int, url: str, kind: str, text: str, stage: int = 2, part: int | None = None, origin: str | None = None):
+        self.key, self.url, self.kind, self.text = key, url, kind, text
+        self.stage, self.part, self.origin = stage, part, origin
+        self.rows: list[dict] = []
+        self.found, self.variables = rules.scan_text(text), rules.scan_variables(text)
+        self.bases = bases_of(self.found)
+
+    def say(self, extractor: int, order: int, base: int, url: str, kind: str, method: str, observed: bool, confidence: str, evidence: str, tags: list[str], params: list[str] = []) -> None:  # noqa: B006
+        seq = {"stage": self.stage, "artifact": self.key, "extractor": extractor if self.part is None else EMBEDDED + self.part, "ord": order, "base": base}
+        tags = sorted([*tags, self.origin]) if self.origin else tags
+        row = {"method": method, "url": url, "method_observed": observed, "type": kind, "source": self.kind, "source_url": self.url, "evidence": evidence, "confidence": confidence, "params": params, "tags": tags}
+        self.rows.append(row | {"seq": seq})
+
+    def resolved(self, own: str | None, path: str, bases: list[str]) -> Iterator[tuple[int, str]]:
+        """Normal forms of what a candidate means here and on the bases, by their places."""
+        full = dict.fromkeys(u for u in (own, *(T.absolutize(b, path) for b in bases)) if u)
+        for base, u in enumerate(full):
+            if (norm := T.normalize(u)) is not None:
+                yield base, norm
+
+    def general(self) -> None:
+        """Every match on its own artefact, and proven call sites on up to FANOUT bases."""
+        for k, (rule, value, verb, confidence, evidence, _, in_comment) in enumerate(self.found):
+            raw = "" if in_comment and self.kind in COMMENTED else T.clean_candidate(value)
+            if not T.is_probably_url(raw):
+                continue
+            path = T.strip_placeholders(raw)
+            fan = self.bases[:FANOUT] if path.startswith("/") and confidence == "high" else []
+            for base, norm in self.resolved(T.absolutize(self.url, path), path, fan):
+                kind = T.classify(norm, rule)
+                if noisy(norm, evidence) or (kind == "Unknown" and confidence == "low" and not T.has_api_signal(norm)):
+                    continue
+                tags = [f"rule:{rule}"] + ["base:inferred"] * (base > 0)
+                self.say(GENERAL, k, base, norm, kind, T.guess_method(norm, kind, verb), verb is not None and not base, "medium" if base else confidence, evidence or value, tags)
+
+    def concatenated(self) -> None:
+        """base + "/path" where the base resolves in the same text: joined as written, not as a reference."""
+        for k, (rule, value, _, confidence, evidence, *_) in enumerate(self.variables):
+            if rule.startswith("concat:"):
+                base, _, path = value.partition("\0")
+                if (norm := T.normalize(base + T.strip_placeholders(path))) is not None:
+                    kind = T.classify(norm, "concat")
+                    self.say(CONCATENATED, k, 0, norm, kind, T.guess_method(norm, kind), False, confidence, evidence or value, ["rule:concat", "base:" + rule[7:]])
+
+    def called(self) -> None:
+        """Fetches on all bases, opens, and sockets: neither comments nor noise are filtered here."""
+        which = {"fetch": FETCHED, "XMLHttpRequest": OPENED, "new WebSocket": SOCKETS, "ws-url": SOCKETS}
+        for k, (rule, value, verb, confidence, evidence, *_) in enumerate(self.found + self.variables):
+            extractor = OPENED if rule.startswith("var:") else which.get(rule)
+            path = T.strip_placeholders(T.clean_candidate(value)) if extractor else ""
+            if not T.is_probably_url(path):
+                continue
+            own = T.absolutize(self.url, path)
+            if extractor == SOCKETS and own and not path.lower().startswith(("ws://", "wss://")):
+                own = re.sub("^http", "ws", own)
+            for base, norm in self.resolved(own, path, self.bases if extractor == FETCHED and path.startswith("/") else []):
+                if extractor == SOCKETS and not norm.startswith("ws"):
+                    continue
+                kind = T.classify(norm, rule)
+                self.say(extractor, k, base, norm, kind, T.guess_method(norm, kind, verb), extractor != SOCKETS and verb is not None, confidence, evidence or value, [f"rule:{rule}"])
+
+    def derived(self) -> str | None:
+        """Services: a row for the root of each ArcGIS or OGC service, and schemas and GraphQL under their types. Gives the first GraphQL address."""
+        graphql = None
+        for k, row in enumerate(sorted(self.rows, key=lambda r: tuple(r["seq"].values()))):
+            url = row["url"]
+            if (at := arcgis_root(url)) is not None:
+                root, kind, tag = at[0], ARCGIS_TYPES.get(at[1], "ArcGIS REST"), f"arcgis:{at[1]}"
+            elif (service := ogc_kind(url)) is not None:
+                root, kind, tag = ogc_root(url), "Tile Server" if service == "WMTS" else "GeoServer", f"ogc:{service.lower()}"
+            else:
+                if any(m in url.lower() for m in SWAGGER):
+                    row["type"] = "Swagger/OpenAPI"
+                elif names_graphql(url):
+                    row["type"] = "GraphQL"
+                    graphql = graphql or url
+                continue
+            if (norm := T.normalize(root)) is not None:
+                self.say(SERVICES, k, 0, norm, kind, "GET", False, "high", row["evidence"], [tag])
+        return graphql
+
+    def operated(self, known: str | None, most: int | None) -> None:
+        """One row with the names of all GraphQL operations, at the text's own GraphQL address or at its origin's."""
+        ops = rules.graphql_operations(self.text)
+        norm = T.normalize(known or T.origin(self.url) + "/graphql") if ops else None
+        if norm is not None:
+            console = any(m in norm.lower() for m in GRAPHQL_CONSOLES)
+            tags = sorted({"graphql:ui" if console else "graphql:api", *(f"{kind}:{name}" for kind, name in ops[:most])})
+            names = sorted({name for _, name in ops})[:most]
+            self.say(OPERATIONS, 0, 0, norm, "GraphQL", "GET" if console else "POST", False, "high", f"{len(ops)} GraphQL operations", tags, names)
+
+
+def arcgis_root(url: str) -> tuple[str, str] | None:
+    """Root and kind of an ArcGIS service's address."""
+    m = _ARCGIS.match(url)
+    return (m.group(1), m.group(2).lower()) if m else None
+
+
+_ARCGIS = re.compile(rf"([^?#]*?/({'|'.join(ARCGIS_KINDS)}))(?:[/?#]|$)", re.I)
+_OGC_MARK = re.compile("/(?:geoserver|ows|mapserv|qgis)(?![a-z0-9])")
+
+
+def ogc_kind(url: str) -> str | None:
+    """ogc_service for one string."""
+    low, path = url.lower(), T.split(url)[2].lower()
+    named = re.search("[?&]service=(wms|wmts|wfs|wcs|csw|wps)(?:&|$)", low)
+    if named:
+        return named.group(1).upper()
+    return next((s.upper() for s in ("wmts", "wms", "wfs", "wcs", "csw", "wps") if "/" + s in path), "WMS" if _OGC_MARK.search(path) else None)
+
+
+def ogc_root(url: str) -> str:
+    """ogc_base for one string."""
+    _, _, path, query = T.split(url)
+    kept = [p for p in query.split("&") if "=" in p and not p.endswith("=") and p.partition("=")[0].lower() not in OGC_KEYS]
+    return T.origin(url) + path + ("?" + "&".join(kept) if kept else "")
+
+
+def names_graphql(url: str) -> bool:
+    """Whether an address is a GraphQL interface or console."""
+    path = T.split(url)[2].lower().rstrip("/")
+    return path.endswith(("/graphql", "/gql")) or any(m in path for m in GRAPHQL_CONSOLES)
+
+
+def analyze(artifacts: DataFrame, most_operations: int | None = 60) -> DataFrame:
+    """Observations of artefacts (artifact_id, url, source_kind, body), with seq for the merge: the rule sweep, concatenations, calls,
+    sockets, service roots, retyped schemas and GraphQL addresses, and GraphQL operations.
+
+    A null body or address gives none. Optional columns: `stage` (2 if missing) comes first in seq; `part` and `origin` are the
+    number of a source inside a map, which only the rule sweep reads, and a tag for it. `most_operations` is the reference's number of operations told of one text; None tells all.
+    Routes and source-map references aren't observations: spa_routes and source_map_references give those.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows: list[dict] = []
+            for key, url, kind, text, stage, part, origin in zip(*(c.to_pylist() for c in batch.columns)):
+                if not text or url is None:
+                    continue
+                t = _Text(key, url, kind, text, stage, part, origin)
+                t.general()
+                if part is None:
+                    t.concatenated()
+                    t.called()
+                    t.operated(t.derived(), most_operations)
+                rows += t.rows
+                if len(rows) > 20_000:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                    rows = []
+            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+
+    optional = {"stage": F.lit(2), "part": F.lit(None), "origin": F.lit(None)}
+    more = [(F.col(c) if c in artifacts.columns else missing).cast("string" if c == "origin" else "int").alias(c) for c, missing in optional.items()]
+    given = artifacts.select(F.col("artifact_id").cast("long"), F.col("url").cast("string"), F.col("source_kind").cast("string"), F.col("body").cast("string"), *more)
+    return given.mapInArrow(run, OBSERVATIONS)
+
+
+def base_urls(artifacts: DataFrame) -> DataFrame:
+    """artifact_id and bases: the first BASES different absolute URLs among configuration values, where there are any."""
+
+    def run(batches):
+        for batch in batches:
+            found = [(k, bases_of(rules.scan_text(text or ""))) for k, text in zip(*(c.to_pylist() for c in batch.columns))]
+            found = [f for f in found if f[1]]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([b for _, b in found], pa.list_(pa.string()))], names=["artifact_id", "bases"])
+
+    return artifacts.select(F.col("artifact_id").cast("long"), "body").mapInArrow(run, "artifact_id long, bases array<string>")
+
+
+# fixed values: keys of the OGC protocols
+OGC_KEYS = [
+    "service", "request", "version", "layers", "layer", "styles", "style", "format", "srs", "crs", "bbox", "width", "height", "transparent", "typename", "typenames",
+    "outputformat", "tilematrixset", "tilematrix", "tilerow", "tilecol",
+]
 
 
 def ogc_base(url: Column) -> Column:
@@ -163,33 +301,38 @@ def capabilities_url(url: Column) -> Column:
     return F.concat(base, joint, F.lit("service="), service, F.lit("&request=GetCapabilities&version="), version)
 
 
-def spa_routes(artifacts: DataFrame, most: int = 120) -> DataFrame:
-    """Routes of single-page applications at the root of their origin, a limited number for each artefact."""
+# fixed values: what stands where routes do, and is none
+ROUTE_NOISE = ["", "/", "**", "*", "null", "true", "false", "undefined"]
+
+
+def spa_routes(artifacts: DataFrame, most: int | None = 120) -> DataFrame:
+    """artifact_id and url: routes of single-page applications at the root of their origin, in their order.
+
+    `most` is the reference's number for one artefact; None gives all.
+    """
     found = rules.side_outputs(artifacts).where("what = 'route'").join(artifacts.select("artifact_id", F.col("url").alias("source_url")), "artifact_id")
-    found = found.where(~F.col("value").rlike("[:.]"))
+    found = found.where(~F.col("value").rlike("[:.]") & ~F.lower("value").isin(ROUTE_NOISE))
     path = F.concat(F.lit("/"), F.regexp_replace("value", "^/+", ""))
     found = found.select("artifact_id", "ord", U.normalize(F.concat(U.origin(F.col("source_url")), path)).alias("url")).where("url is not null")
     first = found.groupBy("artifact_id", "url").agg(F.min("ord").alias("ord"))
+    if most is None:
+        return first.select("artifact_id", "url")
     order = Window.partitionBy("artifact_id").orderBy("ord")
     return first.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).select("artifact_id", "url")
 
 
-def graphql_operations(artifacts: DataFrame) -> DataFrame:
-    """One GraphQL endpoint for each artefact that holds operations: tags kind:name, params names."""
-    found = rules.side_outputs(artifacts).where("what = 'graphql'").join(artifacts.select("artifact_id", F.col("url").alias("source_url")), "artifact_id")
-    ordered = F.slice(F.array_sort(F.collect_list(F.struct("ord", "value", "more"))), 1, 60)
-    each = found.groupBy("artifact_id", "source_url").agg(ordered.alias("ops"))
-    return each.select("artifact_id", F.concat(U.origin(F.col("source_url")), F.lit("/graphql")).alias("url"), F.transform("ops", lambda o: F.concat(o["more"], F.lit(":"), o["value"])).alias("tags"), F.transform("ops", lambda o: o["value"]).alias("params"))
+def source_map_references(artifacts: DataFrame) -> DataFrame:
+    """artifact_id and map_url: the last source-map reference of each text, made absolute; embedded maps are none."""
+    found = rules.side_outputs(artifacts).where("what = 'sourcemap' and value not like 'data:%'").join(artifacts.select("artifact_id", F.col("url").alias("source_url")), "artifact_id")
+    return found.select("artifact_id", U.normalize(U.absolutize(F.col("source_url"), F.col("value"))).alias("map_url")).where("map_url is not null")
 
 
-def analyze(artifacts: DataFrame) -> DataFrame:
-    """Observations of the rule sweep, concatenations, calls and services in text artefacts, with seq for the merge.
+def graphql_operations(artifacts: DataFrame, most: int | None = 60) -> DataFrame:
+    """One GraphQL endpoint for each artefact that holds operations: tags and params name them."""
+    return analyze(artifacts, most).where(F.col("seq.extractor") == OPERATIONS).select(F.col("seq.artifact").alias("artifact_id"), "url", "tags", "params")
 
-    GraphQL operations and routes aren't among them: scan.graphql_observations and spa_routes give those.
-    Matches are stored, since several extractors read them and finding them is the one Python pass;
-    observations are stored, since their service roots are read from them.
-    """
-    found = materialize(rules.matches(artifacts), "matches")
-    general = from_matches(artifacts, found)
-    stored = materialize(general.unionByName(from_concatenations(artifacts, found)).unionByName(from_calls(artifacts, found)), "observations")
-    return with_services(stored)
+
+def endpoint_of(url: Column, source: Column) -> Column:
+    """An endpoint from a bare URL: url, type and method; null if it isn't one."""
+    norm = U.normalize(url)
+    return U.let(norm, lambda u: F.when(u.isNotNull(), F.struct(u.alias("url"), classify(u, source).alias("type"), F.lit("GET").alias("method"))))

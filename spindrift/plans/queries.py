@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import url as U
 from ..operators import crawl, detect, documents, extract, html, merge, report, rules, select
-from ..sources import sinks
+from ..sources import cookies, sinks
 from . import corpora, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,25 +144,26 @@ def u19_query_names(spark, d):
 
 @query(
     f"""WITH u AS ({corpora.URLS}), c AS (SELECT id, url, CASE id % 4 WHEN 0 THEN '/' WHEN 1 THEN 'x' WHEN 2 THEN '/v' || (id % 9) || '/' || id ELSE url END AS cand FROM u)
-SELECT id, (length(cand) BETWEEN 2 AND 2048 AND cand <> '/' AND (regexp_matches(cand, '^(https?|wss?)://') OR (cand LIKE '/%' AND length(cand) > 3))) AS probable FROM c WHERE url NOT LIKE '%typename=%'"""
+SELECT id, (length(cand) BETWEEN 2 AND 2048 AND cand <> '/' AND (regexp_matches(cand, '^(https?|wss?)://') OR (cand LIKE '/%' AND length(cand) > 3))) AS probable FROM c"""
 )
 def u03_is_probably_url(spark, d):
     k = F.col("id") % 4
     cand = F.when(k == 0, "/").when(k == 1, "x").when(k == 2, F.concat(F.lit("/v"), F.col("id") % 9, F.lit("/"), F.col("id"))).otherwise(F.col("url"))
-    return urls(spark, d).where("url not like '%typename=%'").select("id", U.is_probably_url(cand).alias("probable"))
+    return urls(spark, d).select("id", U.is_probably_url(cand).alias("probable"))
+
+
+RAW = "regexp_extract(url, '^([^:/?#]+):', 1)"  # the scheme as it is written
 
 
 @query(
-    f"""{U_CTE} SELECT id, s || '://' || a || '/up/' || id AS rooted, CASE WHEN s IN ('http', 'https', 'ws', 'wss') THEN s || '://other.example.com/x' END AS relative_scheme,
-  CASE WHEN s IN ('http', 'https', 'ws', 'wss') THEN url END AS whole, s || '://' || a || CASE WHEN p = '' THEN '/' ELSE p END || '?k=' || id AS with_query FROM x WHERE id % 20 <> 1"""
+    f"""{U_CTE}, y AS (SELECT *, {RAW} AS raw, s IN ('http', 'https', 'ws', 'wss') AS web FROM x)
+SELECT id, raw || '://' || a || '/up/' || id AS rooted, CASE WHEN web THEN raw || '://other.example.com/x' END AS relative_scheme, CASE WHEN web THEN url END AS whole,
+  raw || '://' || a || CASE WHEN p = '' THEN '/' ELSE p END || '?k=' || id AS with_query FROM y"""
 )
 def u04_absolutize(spark, d):
     b = F.col("url")
-    return (
-        urls(spark, d)
-        .where("id % 20 <> 1")
-        .select("id", U.absolutize(b, F.concat(F.lit("/up/"), "id")).alias("rooted"), U.absolutize(b, F.lit("//other.example.com/x")).alias("relative_scheme"), U.absolutize(b, b).alias("whole"), U.absolutize(b, F.concat(F.lit("?k="), "id")).alias("with_query"))
-    )
+    parts = {"rooted": F.concat(F.lit("/up/"), "id"), "relative_scheme": F.lit("//other.example.com/x"), "whole": b, "with_query": F.concat(F.lit("?k="), "id")}
+    return urls(spark, d).select("id", *[U.absolutize(b, c).alias(n) for n, c in parts.items()])
 
 
 @query(
@@ -212,9 +213,9 @@ def c05_c06_c07_c08_responses(spark, d):
     return o.select(F.col("o_orderkey").alias("id"), category.alias("category"), F.coalesce(C.is_retryable(category), F.lit(False)).alias("retryable"))
 
 
-@query(f"{K_CTE} SELECT id, (s IN ('http', 'https') AND id % 3 <> 0 AND {VERB} IN ('GET', 'HEAD', 'OPTIONS', 'ANY')) AS verifiable FROM k WHERE regexp_extract(url, '^[^:]+', 0) = s")
+@query(f"{K_CTE} SELECT id, (regexp_extract(url, '^([^:/?#]+):', 1) IN ('http', 'https') AND id % 3 <> 0 AND {VERB} IN ('GET', 'HEAD', 'OPTIONS', 'ANY')) AS verifiable FROM k")
 def c09_verifiable(spark, d):
-    u = urls(spark, d).where("substring_index(url, ':', 1) = lower(substring_index(url, ':', 1))")
+    u = urls(spark, d)
     status = F.when(F.col("id") % 3 == 0, 200)
     return u.select("id", C.is_verifiable(F.col("url"), C.guess_method(F.col("url"), C.classify(F.col("url"))), status).alias("verifiable"))
 
@@ -333,13 +334,9 @@ def f07_route_candidates(spark, d):
     return select.route_candidates(urls(spark, d), ["example.com"], [], ["page|api"], []).select("id")
 
 
-@query(f"{M_CTE} SELECT method, url, row_number() OVER (ORDER BY {INTEREST} DESC, CASE confidence WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END DESC, url, method) AS position FROM m ORDER BY position LIMIT 50")
+@query(f"{M_CTE} SELECT method, url, row_number() OVER (ORDER BY {INTEREST} DESC, CASE confidence WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END DESC, url, method) AS position FROM m")
 def f08_rank(spark, d):
-    from pyspark.sql.window import Window
-
-    top = select.rank(merged(spark, d)).limit(50)
-    order = Window.orderBy(C.interest(F.col("type")).desc(), C.confidence_rank(F.col("confidence")).desc(), "url", "method")
-    return top.withColumn("position", F.row_number().over(order).cast("long")).select("method", "url", "position")
+    return select.numbered(merged(spark, d)).select("method", "url", "position")
 
 
 @query(
@@ -372,20 +369,53 @@ def k02_csv_rows(spark, d):
     return sinks.flat(merged(spark, d))
 
 
-@query()
+JSON_LIST = lambda c: f"to_json(CASE WHEN {c} = '' THEN [] ELSE string_split({c}, ',') END)"
+
+
+@query(
+    f"""{M_CTE} SELECT 'endpoints' AS section, CAST(json_object('url', url, 'method', method, 'type', type, 'source', source, 'source_url', source_url, 'confidence', confidence, 'status_code', CAST(status_code AS INTEGER), 'content_type', content_type,
+  'params', {JSON_LIST("params")}, 'tags', {JSON_LIST("tags")}, 'evidence', evidence) AS VARCHAR) AS line FROM m
+UNION ALL SELECT 'type_counts', CAST(json_object('type', type, 'n', count(*)) AS VARCHAR) FROM m GROUP BY type"""
+)
 def k01_json_report(spark, d):
-    return sinks.json_report(merged(spark, d), "https://www.example.com/")
+    return sinks.json_report(merged(spark, d), "https://www.example.com/").where("section <> 'summary'")
+
+
+@query(
+    f"""{M_CTE}, c AS (SELECT type, count(*) AS n FROM m GROUP BY type)
+SELECT '[' || type || ']  (' || n || ')' || chr(10) || 'METHOD  URL  SOURCE  C' AS line FROM c UNION ALL SELECT rpad(method, 7, ' ') || ' ' || url || '  ' || source || '  ' || upper(left(confidence, 1)) FROM m"""
+)
+def k08_terminal(spark, d):
+    return sinks.terminal(sinks.Scan(merged(spark, d))).select("line")
+
+
+@query(f"{M_CTE} SELECT '| ' || method || ' | ' || url || ' | ' || confidence || ' |' AS line FROM m")
+def k04_markdown_rows(spark, d):
+    return sinks.markdown(sinks.Scan(merged(spark, d), "x")).where("at.s = 2 and at.t1 <> ''").select("line")
 
 
 # --- pages ---------------------------------------------------------------------------------------------------------
-@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages WHERE regexp_matches(html, '<title>[^<&]*</title>')")
+def unescaped(v: str) -> str:
+    for name, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&amp;", "&")):
+        v = f"replace({v}, '{name}', '{c}')"
+    return v
+
+
+@query(f"SELECT page_id, trim(regexp_replace({unescaped("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")}, '\\s+', ' ', 'g')) AS title FROM pages WHERE html LIKE '%<title>%'")
 def h01_titles(spark, d):
-    t = html.page_items(pages(spark, d)).where("bucket = 'title'").select("page_id", F.col("value").alias("title"))
-    plain = pages(spark, d).where(r"html rlike '<title>[^<&]*</title>'").select("page_id")
-    return t.join(plain, "page_id", "left_semi")
+    return html.page_items(pages(spark, d)).where("bucket = 'title'").select("page_id", F.col("value").alias("title"))
+
+
+# what an attribute's URL is once it is unescaped, cut, rid of punctuation, resolved and put in normal form
+CUT = f"""regexp_extract({unescaped(unescaped("raw"))}, '^[^"''`<>|^\\\\ \\t\\r\\n]*', 0)"""
+ANCHORS = f"""{PG}, l AS (SELECT page_id, url AS page_url, s, a, h, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]+)"', 1)) AS raw, generate_subscripts(regexp_extract_all(html, '<a [^>]*href="([^"]+)"', 1), 1) AS k
+  FROM x JOIN (SELECT page_id AS _id, html FROM pages) ON page_id = _id),
+t AS (SELECT *, regexp_replace({CUT}, '([,;:!*''"]|[.])+$', '') AS v FROM l),
+n AS (SELECT page_id, page_url, s, h, k, regexp_replace(regexp_extract(v, '^[^?#]*', 0), '/+', '/', 'g') AS np, regexp_extract(v, '^[^?#]*\\?([^#]*)', 1) AS nq FROM t WHERE v <> '' AND NOT regexp_matches(v, '^(#|javascript:|data:|mailto:|tel:)')),
+anchors AS (SELECT page_id, page_url, s || '://' || h || np || CASE WHEN nq = '' THEN '' ELSE '?' || nq END AS url, min(k) AS k, any_value(np) AS p, any_value(h) AS h FROM n GROUP BY ALL)"""
 
 
-@query()
+@query(f"{ANCHORS} SELECT page_id, 'anchors' AS bucket, url, CAST(k + 2 AS INTEGER) AS ord FROM anchors")
 def h01_h02_resources(spark, d):
     return html.resources(pages(spark, d)).select("page_id", "bucket", "url", "ord")
 
@@ -396,25 +426,40 @@ def h01_anchor_counts(spark, d):
     return pages(spark, d).select("page_id").join(found, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).alias("n_anchors"))
 
 
-@query()
+@query(
+    f"""{PG} SELECT page_id, s || '://' || h || '/api/login' AS url, 'POST' AS method, 'Authentication' AS type FROM x
+UNION ALL SELECT page_id, {NORM}, 'GET', 'REST' FROM x"""
+)
 def h04_h08_forms(spark, d):
     p = pages(spark, d).withColumn("html", F.concat("html", F.lit('<form method="post" action="/api/login"></form><form></form>')))
-    return html.forms(p)
+    return html.forms(p).select("page_id", "url", "method", "type")
 
 
-@query()
+@query(f"{PG} SELECT page_id, s || '://' || h || v.path AS url, v.type, 'medium' AS confidence FROM x, (SELECT '/api/v1/list' AS path, 'REST' AS type UNION ALL SELECT '/manifest.json', 'Static JSON') v")
 def h09_resource_endpoints(spark, d):
     p = pages(spark, d).withColumn("html", F.concat("html", F.lit('<div data-api-url="/api/v1/list"></div><link rel=manifest href="/manifest.json">')))
-    return html.resource_endpoints(html.resources(p))
+    return html.resource_endpoints(html.resources(p)).select("page_id", "url", "type", "confidence")
 
 
-@query()
+@query(
+    """SELECT page_id, unnest(CASE page_id % 3 WHEN 0 THEN ['jQuery', 'WordPress'] WHEN 1 THEN ['Next.js', 'MapLibre/Mapbox'] ELSE ['GraphQL client', 'Angular'] END) AS name FROM pages
+UNION ALL SELECT page_id, 'nginx/1.' || (page_id % 9) FROM pages WHERE page_id % 2 = 0"""
+)
 def h10_technologies(spark, d):
-    p = pages(spark, d).withColumn("html", F.concat("html", F.lit('<script src="/static/jquery.min.js"></script><meta name="generator" content="WordPress 6">')))
-    return html.technologies(html.page_items(p))
+    more = F.element_at(F.array(*map(F.lit, ('<script src="/static/jquery.min.js"></script><meta name="generator" content="WordPress 6">', '<link href="/_next/a.css"><script src="/maplibre-gl.js"></script>', "<script>new Apollo()</script><script src='/angular.min.js'></script>"))), (F.col("page_id") % 3 + 1).cast("int"))
+    p = pages(spark, d).withColumn("html", F.concat("html", more))
+    headers = F.create_map(F.lit("Server"), F.concat(F.lit(" nginx/1."), (F.col("page_id") % 9).cast("string")), F.lit("Date"), F.lit("x"))
+    return html.technologies(html.page_items(p), p.where("page_id % 2 = 0").select("page_id", headers.alias("headers")))
 
 
-@query()
+@query(
+    f"""{ANCHORS}, f AS (SELECT DISTINCT {NORM} AS url FROM (SELECT * FROM x ORDER BY page_id LIMIT 5)), c AS (SELECT DISTINCT {NORM} AS url FROM x),
+e AS (SELECT DISTINCT {NORM} AS page_url, page_id FROM x),
+d1 AS (SELECT DISTINCT anchors.url FROM anchors JOIN e USING (page_id) WHERE e.page_url IN (SELECT url FROM f) AND {EXT} IN ('', 'html', 'htm', 'php', 'asp', 'aspx', 'jsp', 'do', 'action') AND anchors.url NOT IN (SELECT url FROM f)),
+v1 AS (SELECT url FROM d1 ORDER BY url LIMIT (SELECT 200 - count(*) FROM f)),
+d2 AS (SELECT DISTINCT anchors.url FROM anchors JOIN e USING (page_id) WHERE e.page_url IN (SELECT url FROM v1) AND {EXT} IN ('', 'html', 'htm', 'php', 'asp', 'aspx', 'jsp', 'do', 'action') AND anchors.url NOT IN (SELECT url FROM f UNION ALL SELECT url FROM v1))
+SELECT url, 0 AS depth FROM f UNION ALL SELECT url, 1 FROM v1 UNION ALL SELECT url, 2 FROM (SELECT url FROM d2 ORDER BY url LIMIT (SELECT 200 - (SELECT count(*) FROM f) - (SELECT count(*) FROM v1)))"""
+)
 def s06_crawl(spark, d):
     p = pages(spark, d)
     links = html.link_graph(html.resources(p))
@@ -424,12 +469,16 @@ def s06_crawl(spark, d):
 
 @query(f"{PG} SELECT url, CAST(page_id % 7 AS BIGINT) AS n_scripts FROM x ORDER BY (page_id = 3) DESC, page_id % 7 DESC, url LIMIT 20")
 def s14_render_targets(spark, d):
-    p = pages(spark, d)
-    entry = p.where("page_id = 3").first()["url"]
-    return crawl.render_targets(p.select("url", (F.col("page_id") % 7).alias("n_scripts")), entry, 20)
+    p = pages(spark, d).select("url", (F.col("page_id") % 7).alias("n_scripts"), (F.col("page_id") == 3).alias("is_entry"))
+    return crawl.render_targets(p, 20)
 
 
-@query()
+@query(
+    f"""{U_CTE}, n AS (SELECT {NORM} AS url, min(id) AS ord FROM x GROUP BY ALL HAVING {NORM} IS NOT NULL),
+z AS (SELECT url, ord, {A} AS a, {H} AS h, {P} AS p FROM n)
+SELECT url, CAST(ord AS BIGINT) AS ord FROM z WHERE {EXT} IN ('js', 'mjs', 'cjs', 'jsx', 'ts', 'tsx', 'map', 'json', 'geojson', 'topojson', 'css', 'xml', 'yaml', 'yml', 'txt', 'webmanifest')
+  AND ({DOMAIN} = 'example.com' OR {EXT} IN ('js', 'mjs', 'cjs', 'map', 'json')) ORDER BY ord, url LIMIT 300"""
+)
 def s09_admit_assets(spark, d):
     return crawl.admit_assets(urls(spark, d).select("url", F.col("id").alias("ord")), "https://www.example.com/", 300)
 
@@ -440,7 +489,11 @@ def s13_body_field_names(spark, d):
     return documents.body_field_names(e).select("request_id", F.array_join(F.array_sort("names"), ",").alias("names"))
 
 
-@query()
+@query(
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS host, event_id, event_id % 3 = 0 OR event_id % 7 = 0 AS hit FROM events),
+l AS (SELECT host, list(CASE WHEN hit THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY event_id) AS steps, count(*) FILTER (hit) AS refusals FROM e GROUP BY host)
+SELECT host, list_reduce(list_prepend(0.0::DOUBLE, steps), lambda acc, x: CASE WHEN x > 0 THEN least(greatest(acc * 2, 0.5), 8) WHEN acc / 2 <= 0.1 THEN 0 ELSE acc / 2 END) AS penalty, refusals FROM l"""
+)
 def t01_penalties(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     category = F.when(F.col("event_id") % 3 == 0, "rate_limited").when(F.col("event_id") % 7 == 0, "waf")
@@ -462,37 +515,114 @@ def r01_r02_r36_fetch(spark, d):
     return rules.matches(scripts(spark, d)).where("rule = 'fetch' and extractor = 0").select("artifact_id", "value", "method", "in_comment")
 
 
-@query()
+#: A call or literal for each rule: the text with # for a number, the value it gives, and the method.
+SNIPPETS = [
+    ("axios.config", 'axios({url: "/api/a#", method: "PATCH"})', "/api/a#", "PATCH"), ("axios.create", 'axios.create({baseURL: "https://c.example.com/b#"})', "https://c.example.com/b#", None),
+    ("jquery.ajax", '$.ajax({type: "PUT", url: "/api/j#"})', "/api/j#", "PUT"), ("http.client", 'this.http.get<Item[]>("/api/h#")', "/api/h#", "GET"), ("superagent", 'superagent.del("/api/s#")', "/api/s#", "DELETE"),
+    ("ky/wretch", 'ky.put("/api/k#")', "/api/k#", "PUT"), ("serviceWorker.register", 'navigator.serviceWorker.register("/sw#.js")', "/sw#.js", None), ("Worker", 'new SharedWorker("/w#.js")', "/w#.js", None),
+    ("ws-url", 'connect(wss://x.example.com/s#)', "wss://x.example.com/s#)", None), ("arcgis", 'go("https://m.example.com/arcgis/rest/services/R#/MapServer/0")', "https://m.example.com/arcgis/rest/services/R#/MapServer/0", None),
+    ("ogc", 'go("/maps#/geoserver/wms")', "/maps#/geoserver/wms", None), ("swagger", 'go("/docs#/swagger.json")', "/docs#/swagger.json", None), ("graphql", 'go("https://g#.example.com/graphql")', "https://g#.example.com/graphql", None),
+    ("config:baseURL", 'baseURL: "/base#"', "/base#", None), ("config:MY_SERVICE_URL", 'MY_SERVICE_URL = "/env#"', "/env#", None), ("absolute-url", 'x(https://a#.example.com/p)', "https://a#.example.com/p)", None),
+    ("protocol-relative", 'x("//cdn#.example.com/lib")', "//cdn#.example.com/lib", None), ("quoted-path", 'x("/some/path#")', "/some/path#", None), ("api-path", 'x("/api/q#")', "/api/q#", None), ("versioned-path", 'x("/v2/things#")', "/v2/things#", None),
+    ("data-file", 'x("/f#/data.geojson?x=1")', "/f#/data.geojson?x=1", None), ("tile-template", 'x("/t#/{z}/{x}/{y}.png")', "/t#/{z}/{x}/{y}.png", None), ("var:target", 'r.open("POST", target); target = "/api/v#"', "/api/v#", "POST"),
+    ("fetch", 'fetch(`/api/t#/${id}`, o)', "/api/t#/${id}", None), ("EventSource", 'new EventSource("/api/e#")', "/api/e#", None), ("sendBeacon", 'navigator.sendBeacon("/api/b#")', "/api/b#", "POST"),
+]
+PARTS = "SELECT p_partkey AS artifact_id, p_partkey % {n} AS k, '' || p_partkey AS n FROM part"
+
+
+def cases(column: int) -> str:
+    said = lambda v: "NULL" if v is None else "replace('" + v.replace("'", "''") + "', '#', n)"
+    return "CASE k " + " ".join(f"WHEN {k} THEN {said(row[column])}" for k, row in enumerate(SNIPPETS)) + " END"
+
+
+@query(f"WITH p AS ({PARTS.format(n=len(SNIPPETS))}) SELECT DISTINCT artifact_id, {cases(0)} AS rule, {cases(2)} AS value, {cases(3)} AS method FROM p")
 def r01_r36_all_rules(spark, d):
-    return rules.matches(scripts(spark, d)).drop("evidence")
+    p = corpora.frame(spark, d, PARTS.format(n=len(SNIPPETS)))
+    pick = lambda column: F.replace(F.get(F.array(*[F.lit(row[column]) for row in SNIPPETS]), F.col("k").cast("int")), F.lit("#"), F.col("n"))
+    texts = p.select("artifact_id", pick(0).alias("wanted"), pick(1).alias("body"))
+    found = rules.matches(texts).join(texts.select("artifact_id", "wanted"), "artifact_id").where("rule = wanted")
+    return found.select("artifact_id", "rule", "value", "method").distinct()
+
+
+@query(
+    f"""{J} SELECT artifact_id, 'route' AS what, r AS value FROM j, (SELECT 'catalog' AS r UNION ALL SELECT '/home') UNION ALL SELECT artifact_id, 'sourcemap', 'b.js.map' FROM j
+UNION ALL SELECT artifact_id, 'graphql', g FROM j, (SELECT 'Parts' AS g UNION ALL SELECT 'Save' UNION ALL SELECT 'Named')"""
+)
+def r33_r35_side_outputs(spark, d):
+    more = " r=[{path: 'catalog'},{redirectTo: '/home'},{path: 'catalog'}] gql`query Parts { id }` graphql`mutation Save { ok }` {\"operationName\": \"Named\"}\n//# sourceMappingURL=a.js.map\n//# sourceMappingURL=b.js.map"
+    return rules.side_outputs(scripts(spark, d).withColumn("body", F.concat("body", F.lit(more)))).select("artifact_id", "what", "value")
 
 
 @query(f"{J} SELECT artifact_id, regexp_extract(body, '\"(https://[^\"]+)\"', 1) AS base FROM j")
 def e04_base_urls(spark, d):
-    return extract.base_urls(rules.matches(scripts(spark, d))).select("artifact_id", F.explode("bases").alias("base"))
+    return extract.base_urls(scripts(spark, d)).select("artifact_id", F.explode("bases").alias("base"))
 
 
 @query(f"{J} SELECT artifact_id, regexp_extract(body, '\"(https://[^\"]+)\"', 1) || '/more/' || (artifact_id % 50) AS url, 'rule:concat,base:apiUrl' AS tags FROM j")
 def e06_concatenations(spark, d):
-    s = scripts(spark, d)
-    return extract.from_concatenations(s, rules.matches(s)).select(F.col("seq.artifact").alias("artifact_id"), "url", F.array_join("tags", ",").alias("tags"))
-
-
-@query()
+    found = extract.analyze(scripts(spark, d)).where(F.col("seq.extractor") == extract.CONCATENATED)
+    return found.select(F.col("seq.artifact").alias("artifact_id"), "url", F.array_join("tags", ",").alias("tags"))
+
+
+#: Which paths a script of the corpus names, by key.
+SAID = """CASE w WHEN 'parts' THEN '/api/parts/' || p WHEN 'sizes' THEN '/api/sizes/' || size WHEN 'save' THEN '/api/save/' || (p % 100) WHEN 'brands' THEN '/api/brands/' || (p % 25) WHEN 'beacon' THEN '/api/beacon'
+  WHEN 'feed' THEN '/api/feed/' || (p % 3) WHEN 'api' THEN '/api' WHEN 'more' THEN '/base/more/' || (p % 50) WHEN 'base' THEN '/base' WHEN 'socket' THEN '/s/' || (p % 5) ELSE '/api/commented/' || p END"""
+#: Calls go to the script's own host as written, and to the configured base at lower confidence; fetches of the call sweep to both at high.
+CALLS = "(VALUES ('parts', 'PUT', true, 'REST'), ('parts', 'GET', false, 'REST'), ('sizes', 'GET', true, 'REST'), ('save', 'POST', true, 'REST'), ('brands', 'GET', true, 'REST'), ('beacon', 'POST', true, 'REST'), ('feed', 'GET', false, 'Stream/SSE')) c(w, method, seen, type)"
+PATHS = "(VALUES ('parts'), ('sizes'), ('save'), ('brands'), ('beacon'), ('feed')) c(w)"
+FETCHES = "(VALUES ('parts', 'PUT', true), ('parts', 'GET', false), ('commented', 'GET', false)) c(w, method, seen)"
+HOSTS = "(VALUES (0), (1)) h(base)"
+E01 = f"""SELECT w, method, base, seen AND base = 0 AS method_observed, type, CASE base WHEN 0 THEN 'high' ELSE 'medium' END AS confidence, 0 AS extractor FROM {CALLS}, {HOSTS}
+UNION ALL SELECT w, 'GET', 0, false, 'REST', k, 0 FROM {PATHS}, (VALUES ('low'), ('medium')) t(k) UNION ALL SELECT 'api', 'GET', 0, false, 'REST', 'medium', 0
+UNION ALL SELECT 'base', 'GET', 1, false, 'Unknown', k, 0 FROM (VALUES ('high'), ('medium'), ('low')) t(k) UNION ALL SELECT 'more', 'GET', 1, false, 'Unknown', 'high', 1
+UNION ALL SELECT w, method, base, seen, 'REST', 'high', 2 FROM {FETCHES}, {HOSTS} UNION ALL SELECT 'save', 'POST', 0, true, 'REST', 'high', 3
+UNION ALL SELECT 'socket', 'ANY', 2, false, 'WebSocket', 'high', e FROM (VALUES (0), (0), (4), (4)) t(e)"""
+E01_CTE = f"""WITH z AS (SELECT p_partkey AS p, p_size AS size FROM part), r AS ({E01}),
+e AS (SELECT method, CASE base WHEN 0 THEN 'https://www.example.com' WHEN 1 THEN 'https://api' || (p % 8) || '.example.com' ELSE 'wss://live.example.com' END || {SAID} AS url, method_observed, type, confidence, p AS artifact_id, extractor FROM z, r)"""
+
+
+@query(f"{E01_CTE} SELECT * FROM e")
 def e01_e15_analyze(spark, d):
     return extract.analyze(scripts(spark, d)).select("method", "url", "method_observed", "type", "confidence", F.col("seq.artifact").alias("artifact_id"), F.col("seq.extractor").alias("extractor"))
 
 
-@query()
+@query(f"{J} SELECT artifact_id, 'https://www.example.com/' || r AS url FROM j, (SELECT 'catalog' AS r UNION ALL SELECT 'items/list' UNION ALL SELECT 'home')")
 def e11_spa_routes(spark, d):
-    s = scripts(spark, d).withColumn("body", F.concat("body", F.lit(" routes=[{path: 'catalog', x:1},{path:'items/list'},{redirectTo: '/home'}]")))
+    s = scripts(spark, d).withColumn("body", F.concat("body", F.lit(" routes=[{path: 'catalog', x:1},{path:'items/list'},{redirectTo: '/home'},{path: 'a.b'},{path: 'null'}]")))
     return extract.spa_routes(s)
 
 
-@query()
+@query(f"{J} SELECT artifact_id, 'https://www.example.com/js/maps/' || artifact_id || '.map' AS map_url FROM j WHERE artifact_id % 3 <> 0")
+def e12_source_map_references(spark, d):
+    own = F.when(F.col("artifact_id") % 3 == 0, "data:application/json;base64,e30=").otherwise(F.concat(F.lit("maps/"), "artifact_id", F.lit(".map")))
+    return extract.source_map_references(scripts(spark, d).withColumn("body", F.concat("body", F.lit("\n//# sourceMappingURL=old.map\n//# sourceMappingURL="), own)))
+
+
+@query(f"{J} SELECT artifact_id, CASE WHEN artifact_id % 2 = 0 THEN 'https://www.example.com/own/graphql' ELSE 'https://www.example.com/graphql' END AS url, 'graphql:api,mutation:Save,query:Parts' AS tags, 'Parts,Save' AS params FROM j")
 def e13_graphql_operations(spark, d):
+    own = F.when(F.col("artifact_id") % 2 == 0, ' fetch("/own/graphql")').otherwise("")
     s = scripts(spark, d).withColumn("body", F.concat("body", F.lit(" gql`query Parts { id }` gql`mutation Save { ok }`")))
-    return extract.graphql_operations(s)
+    s = s.withColumn("body", F.concat(F.lit("/* */"), own, F.lit("\n"), "body"))
+    return extract.graphql_operations(s).select("artifact_id", "url", F.array_join("tags", ",").alias("tags"), F.array_join("params", ",").alias("params"))
+
+
+@query(f"{K_CTE} SELECT id, {NORM} AS url, type, 'GET' AS method FROM k WHERE {NORM} IS NOT NULL")
+def e17_endpoint_of(spark, d):
+    found = urls(spark, d).select("id", extract.endpoint_of(F.col("url"), F.lit("Manual")).alias("e")).where("e is not null")
+    return found.select("id", "e.url", "e.type", "e.method")
+
+
+@query(
+    f"""{J} SELECT DISTINCT 'base' AS bucket, regexp_extract(body, '"(https://[^"]+)"', 1) AS url FROM j UNION SELECT 'schema', 'https://www.example.com/docs/' || (artifact_id % 4) || '/swagger.json' FROM j
+UNION SELECT 'schema', 'https://api' || (artifact_id % 8) || '.example.com/docs/' || (artifact_id % 4) || '/swagger.json' FROM j
+UNION SELECT 'route', 'https://www.example.com/r' || (artifact_id % 9) FROM j UNION SELECT 'map', 'https://www.example.com/js/m' || (artifact_id % 5) || '.map' FROM j
+UNION SELECT 'asset', 'https://www.example.com/docs/' || (artifact_id % 4) || '/swagger.json' FROM j UNION SELECT 'asset', 'https://api' || (artifact_id % 8) || '.example.com/docs/' || (artifact_id % 4) || '/swagger.json' FROM j"""
+)
+def e19_absorbed(spark, d):
+    part = lambda n: (F.col("artifact_id") % n).cast("string")
+    more = F.concat(F.lit('; go("/docs/'), part(4), F.lit("/swagger.json\"); r=[{path: 'r"), part(9), F.lit("'}]\n//# sourceMappingURL=m"), part(5), F.lit(".map"))
+    s = scripts(spark, d).withColumn("body", F.concat(F.regexp_replace("body", " // fetch.*$", ""), more))
+    return crawl.absorbed(extract.analyze(s), s, "https://www.example.com/")
 
 
 def described(spark, d, body, name: str) -> DataFrame:
@@ -521,10 +651,14 @@ def m02_sitemaps(spark, d):
     return documents.expand(a).select("url")
 
 
-@query()
+@query(
+    """SELECT 'https://n' || n_nationkey || '.example.com' || v.path AS url, v.method, v.type, 'manifest.json' AS source FROM nation, (SELECT '/app' AS path, 'GET' AS method, 'Unknown' AS type UNION ALL SELECT '/', 'GET', 'Unknown'
+  UNION ALL SELECT '/share', 'POST', 'Unknown' UNION ALL SELECT '/new', 'GET', 'Unknown') v
+UNION ALL SELECT 'https://id.example.com/' || v.path, v.method, v.type, 'well-known' FROM nation, (SELECT '' AS path, 'GET' AS method, 'Unknown' AS type UNION ALL SELECT 'oauth/token', 'POST', 'Authentication') v"""
+)
 def m04_m07_manifest_well_known(spark, d):
     a = described(spark, d, F.lit('{"start_url": "/app", "scope": "/", "share_target": {"action": "/share"}, "shortcuts": [{"url": "/new"}]}'), "manifest.json")
-    b = described(spark, d, F.lit('{"issuer": "https://id.example.com/", "token_endpoint": "https://id.example.com/oauth/token"}'), ".well-known/openid-configuration")
+    b = described(spark, d, F.lit('{"issuer": "https://id.example.com/", "token_endpoint": "https://id.example.com/oauth/token"}'), ".well-known/openid-configuration").withColumn("artifact_id", F.col("artifact_id") + 1000)
     return documents.expand(a.unionByName(b)).select("url", "method", "type", "source")
 
 
@@ -567,14 +701,25 @@ def o01_o05_capabilities(spark, d):
     return documents.expand(a).select("url", F.element_at("tags", 1).alias("operation"), F.size("params").alias("n_layers"))
 
 
-@query(f"{U_CTE} SELECT id, s || '://' || a || p || CASE WHEN id % 20 = 5 OR q = '' THEN '' ELSE '?' || q END AS base FROM x WHERE id % 20 IN (4, 5, 7)")
+OGC_PAIRS = """list_filter(string_split(q, '&'), lambda g: g LIKE '%=%' AND g NOT LIKE '%=' AND lower(regexp_extract(g, '^([^=]*)', 1)) NOT IN ('service', 'request', 'version', 'layers', 'layer', 'styles', 'style', 'format',
+  'srs', 'crs', 'bbox', 'width', 'height', 'transparent', 'typename', 'typenames', 'outputformat', 'tilematrixset', 'tilematrix', 'tilerow', 'tilecol'))"""
+OGC_BASE = f"{RAW} || '://' || a || p || CASE WHEN len({OGC_PAIRS}) = 0 THEN '' ELSE '?' || array_to_string({OGC_PAIRS}, '&') END"
+
+
+@query(f"{U_CTE} SELECT id, {OGC_BASE} AS base FROM x")
 def o02_ogc_base(spark, d):
-    return urls(spark, d).where("id % 20 in (4, 5, 7)").select("id", extract.ogc_base(F.col("url")).alias("base"))
+    return urls(spark, d).select("id", extract.ogc_base(F.col("url")).alias("base"))
 
 
-@query(f"{U_CTE} SELECT id, s || '://' || a || p || '?service=WFS&request=GetCapabilities&version=2.0.0' AS address FROM x WHERE id % 20 = 5")
+@query(
+    f"""{U_CTE}, b AS (SELECT id, {OGC_BASE} AS base, CASE WHEN regexp_matches(lower(url), '[?&]service=(wms|wmts|wfs|wcs|csw|wps)(&|$)') THEN upper(regexp_extract(lower(url), '[?&]service=(wms|wmts|wfs|wcs|csw|wps)(&|$)', 1))
+  WHEN contains(lower(p), '/wmts') THEN 'WMTS' WHEN contains(lower(p), '/wms') THEN 'WMS' WHEN contains(lower(p), '/wfs') THEN 'WFS' WHEN contains(lower(p), '/wcs') THEN 'WCS' WHEN contains(lower(p), '/csw') THEN 'CSW' WHEN contains(lower(p), '/wps') THEN 'WPS'
+  WHEN regexp_matches(lower(p), '/(geoserver|ows|mapserv|qgis)([^a-z0-9]|$)') THEN 'WMS' END AS service FROM x)
+SELECT id, base || CASE WHEN contains(base, '?') THEN '&' ELSE '?' END || 'service=' || service || '&request=GetCapabilities&version=' ||
+  CASE service WHEN 'WMS' THEN '1.3.0' WHEN 'WMTS' THEN '1.0.0' WHEN 'WFS' THEN '2.0.0' WHEN 'WCS' THEN '2.0.1' WHEN 'CSW' THEN '2.0.2' ELSE '1.0.0' END AS address FROM b"""
+)
 def o03_capabilities_url(spark, d):
-    return urls(spark, d).where("id % 20 = 5").select("id", extract.capabilities_url(F.col("url")).alias("address"))
+    return urls(spark, d).select("id", extract.capabilities_url(F.col("url")).alias("address"))
 
 
 @query("SELECT n_nationkey AS artifact_id, v.name, v.origin FROM nation, (SELECT 'src/app.js' AS name, 'origin:app.js' AS origin UNION ALL SELECT 'src/lib/net.js', 'origin:net.js') v")
@@ -639,15 +784,89 @@ def c10_verified(spark, d):
     return scan.verified(m, r).select("method", "url", "status_code", F.array_contains("tags", "verified").alias("checked"))
 
 
-@query("SELECT page_id, 'wss://' || substr(regexp_extract(url, '^https?://[^/?#]*', 0), strpos(url, '://') + 3) AS socket FROM pages WHERE url LIKE 'https:%'")
+@query("SELECT page_id, regexp_replace(regexp_extract(url, '^https?://[^/?#]*', 0), '^http', 'ws') AS socket FROM pages")
 def u21_to_websocket(spark, d):
-    return pages(spark, d).where("url like 'https:%'").select("page_id", U.to_websocket(U.origin(F.col("url"))).alias("socket"))
+    return pages(spark, d).select("page_id", U.to_websocket(U.origin(F.col("url"))).alias("socket"))
 
 
-@query()
+@query(
+    f"""{E01_CTE}, o AS (SELECT method, url, method_observed, type, confidence FROM e UNION ALL SELECT m, 'https://api.example.com/v1/parts' || p, true, 'REST', 'high' FROM (VALUES ('GET', '/{{id}}'), ('DELETE', '/{{id}}'), ('POST', '')) t(m, p)),
+m AS (SELECT method, url, bool_or(method_observed) AS method_observed, CASE WHEN url LIKE '%/api/feed/%' THEN 'Stream/SSE' ELSE coalesce(max(type) FILTER (type <> 'Unknown'), 'Unknown') END AS type,
+  CASE max(CASE confidence WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END) WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence FROM o GROUP BY method, url)
+SELECT method, url, type, confidence, method_observed FROM m WHERE method_observed OR url NOT IN (SELECT url FROM m WHERE method_observed)"""
+)
 def scan_end_to_end(spark, d):
     none = spark.createDataFrame([], "url string")
     a = described(spark, d, F.lit(OPENAPI), "openapi.json").withColumn("source_kind", F.lit("JSON"))
     shape = ["artifact_id", "url", "kind", "source_kind", "body"]
     found = scan.scan(pages(spark, d), scripts(spark, d).select(*shape).unionByName(a.select(*shape)), none)
     return found.select("method", "url", "type", "confidence", "method_observed")
+
+
+SITEMAP = '<?xml version="1.0"?><{root} xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
+
+
+@query(
+    """SELECT 'https://n' || n_nationkey || '.example.com/' || v.page AS url, 'https://n' || n_nationkey || '.example.com/' || v.map AS source_url, v.type, v.method
+FROM nation, (SELECT 'api/a' AS page, 'a.xml' AS map, 'REST' AS type, 'GET' AS method UNION ALL SELECT 'login', 'a.xml', 'Authentication', 'POST' UNION ALL SELECT 'feed.json', 'b.xml', 'Static JSON', 'GET') v"""
+)
+def m03_sitemap_pages(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("https://n"), "n_nationkey", F.lit(".example.com/")).alias("host"), F.col("n_nationkey").cast("long").alias("k"))
+    loc = lambda *paths: F.concat(*[F.concat(F.lit("<x><loc>"), F.col("host"), F.lit(p + "</loc></x>")) for p in paths])
+    document = lambda k, name, root, body: n.select((F.col("k") * 4 + k).alias("artifact_id"), F.concat("host", F.lit(name)).alias("url"), F.concat(F.lit(SITEMAP.format(root=root)), body, F.lit(f"</{root}>")).alias("body"))
+    docs = document(0, "sitemap.xml", "sitemapindex", loc("a.xml", "b.xml", "gone.xml")).unionByName(document(1, "a.xml", "urlset", loc("api/a", "about", "login")))
+    docs = docs.unionByName(document(2, "b.xml", "urlset", loc("feed.json", "contact"))).unionByName(document(3, "c.xml", "urlset", loc("api/never")))
+    return crawl.sitemap_pages(n.select(F.concat("host", F.lit("sitemap.xml")).alias("url"), F.col("k").alias("ord")), docs, docs=None)
+
+
+@query(
+    """SELECT 'https://n' || n_nationkey || '.example.com' || v.path AS url, v.method, v.type FROM nation, (SELECT '/v1/p' AS path, 'GET' AS method, 'REST' AS type UNION ALL SELECT '/v1/p', 'PUT', 'REST' UNION ALL SELECT '/docs/swagger.json', 'GET', 'Swagger/OpenAPI'
+  UNION ALL SELECT '/arcgis/rest/services/R/MapServer/7', 'GET', 'ArcGIS REST' UNION ALL SELECT '/arcgis/rest/services/R/MapServer/7/query', 'GET', 'ArcGIS REST' UNION ALL SELECT '/arcgis/rest/services/R/MapServer/' || o, 'GET', 'ArcGIS REST'
+  FROM (VALUES ('export'), ('identify'), ('find'), ('legend'), ('layers')) t(o)) v"""
+)
+def p05_schema_stage(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("https://n"), "n_nationkey", F.lit(".example.com")).alias("host"), F.col("n_nationkey").cast("long").alias("k"))
+    at = lambda bucket, path: n.select(F.lit(bucket).alias("bucket"), F.concat("host", F.lit(path)).alias("url"))
+    found = at("schema", "/docs/swagger-ui").unionByName(at("arcgis", "/arcgis/rest/services/R/MapServer"))
+    document = lambda k, path, body: n.select((F.col("k") * 3 + k).alias("artifact_id"), F.concat("host", F.lit(path)).alias("url"), F.lit("json").alias("kind"), F.lit(body).alias("body"))
+    captured = document(0, "/docs/swagger.json", '{"swagger": "2.0", "basePath": "/v1", "paths": {"/p": {"get": {}, "put": {}}}}').unionByName(document(1, "/arcgis/rest/services/R/MapServer?f=json", '{"currentVersion": 11, "layers": [{"id": 7}]}'))
+    captured = captured.unionByName(document(2, "/other/swagger.json", '{"swagger": "2.0", "paths": {"/never": {"get": {}}}}'))
+    return crawl.schema_stage(found, captured, "https://www.example.com/").select("url", "method", "type")
+
+
+@query(f"{U_CTE} SELECT id, CASE WHEN s IN ('http', 'https') THEN {NORM} END AS target, 'https://' || h || '/' AS bare FROM x")
+def s01_normalise_target(spark, d):
+    u = urls(spark, d)
+    return u.select("id", U.normalise_target(F.concat(F.lit("  "), "url")).alias("target"), U.normalise_target(U.host_of(F.col("url"))).alias("bare"))
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN chr(65533) || 'ab' WHEN 1 THEN left(html, 100) ELSE html END AS body FROM (SELECT page_id, regexp_replace(html, '[^\\x00-\\x7F]', '?', 'g') AS html FROM pages)")
+def s04_decoded_bodies(spark, d):
+    p = pages(spark, d).withColumn("html", F.regexp_replace("html", "[^\\x00-\\x7F]", "?")).withColumn("k", F.col("page_id") % 3)
+    raw = F.when(F.col("k") == 0, F.unhex(F.lit("FF6162"))).otherwise(F.col("html").cast("binary"))
+    return p.select("page_id", crawl.decoded(raw, F.when(F.col("k") == 1, 100)).alias("body"))
+
+
+@query(
+    """SELECT CAST(n_nationkey AS VARCHAR) AS file, v.name, v.value, v.domain FROM nation, (SELECT 0 AS k, 'sid' AS name, 'a' AS value, 'x.com' AS domain UNION ALL SELECT 0, 'id', '2', '' UNION ALL SELECT 1, 'k', 'v', '' UNION ALL SELECT 2, 'sid', 'abc', 'x.com') v
+WHERE n_nationkey % 3 = v.k"""
+)
+def s15_cookie_files(spark, d):
+    bodies = ('[{"name": "sid", "value": "a", "domain": ".x.com"}, {"name": "id", "value": 1}, {"name": "id", "value": 2}, {"value": 3}]', '{"k": "v", "o": {}}', "# c\n#HttpOnly_.x.com\tTRUE\t/\tTRUE\t0\tsid\tabc\nshort\n")
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    files = n.select(F.col("n_nationkey").cast("string").alias("file"), F.get(F.array(*map(F.lit, bodies)), F.col("n_nationkey") % 3).alias("body"))
+    return cookies.merged(cookies.read_cookies(files)).select("file", "name", "value", "domain")
+
+
+@query(
+    """SELECT 'https://www.example.com/api/s/' || v.n AS url, 'origin:' || v.f AS origin, count(*) AS n FROM nation, (SELECT 'one' AS n, 'app.js' AS f UNION ALL SELECT 'two', 'net.js') v GROUP BY ALL
+UNION ALL SELECT 'https://api' || (page_id % 5) || '.example.com/api/blob', '', count(*) FROM pages GROUP BY ALL"""
+)
+def x02_e16_embedded_texts(spark, d):
+    body = '{"sources": ["src/app.js", "lib/net.js", "node_modules/n.js"], "sourcesContent": ["fetch(\\"/api/s/one\\")", "fetch(\\"/api/s/two\\")", "fetch(\\"/api/s/no\\")"]}'
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    a = n.select(F.col("n_nationkey").cast("long").alias("artifact_id"), F.lit("https://www.example.com/app.js.map").alias("url"), F.lit("map").alias("kind"), F.lit("SourceMap").alias("source_kind"), F.lit(body).alias("body"))
+    p = pages(spark, d).withColumn("html", F.concat("html", F.lit('<script type="application/json">{"u": "https://api'), (F.col("page_id") % 5).cast("string"), F.lit('.example.com/api/blob"}</script>')))
+    found = scan.observations(p, a).where("(source = 'SourceMap' and confidence = 'high') or url like 'https://api%/api/blob'")
+    origin = F.coalesce(F.get(F.filter("tags", lambda t: t.startswith("origin:")), F.lit(0)), F.lit(""))
+    return found.select("seq", "url", origin.alias("origin")).dropDuplicates(["url", "origin", "seq"]).groupBy("url", "origin").agg(F.countDistinct(F.struct("seq.stage", "seq.artifact")).alias("n"))

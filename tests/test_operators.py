@@ -2,12 +2,13 @@
 
 import json
 import random
+from xml.etree import ElementTree
 
 from pyspark.sql import functions as F
 
 from spindrift.operators import crawl, documents, extract, html, merge, rules, select
 from spindrift.plans import scan
-from spindrift.sources import sinks
+from spindrift.sources import cookies, sinks
 
 RANK = {"low": 0, "medium": 1, "high": 2}
 SCHEMA = "method string, url string, method_observed boolean, type string, source string, source_url string, evidence string, confidence string, status_code int, content_type string, params array<string>, tags array<string>, seq long"
@@ -154,15 +155,92 @@ def test_penalty_fold(spark):
 
 
 def test_sinks(spark, tmp_path):
-    rows = [("GET", "https://a.com/x|y", True, "REST", "s", "https://a.com/", "</script>", "high", 200, None, ["p"], ["t", "u"], 1)]
+    rows = [("GET", "https://a.com/x|y", True, "REST", "s", "https://a.com/", "</script>", "high", 200, None, ["p"], ["t", "u"], 1), ("POST", 'https://a.com/"<&', True, "Unknown", "s", None, "e", "low", None, None, [], [], 2)]
     m = merge.merge_observations(spark.createDataFrame(rows, SCHEMA))
-    assert sinks.flat(m).first()["tags"] == "t u"
-    done, failed = sinks.write_reports(m, "a.com", ["markdown", "html", "graphml", "nonsense"])
-    assert set(done) == {"markdown", "html", "graphml"} and set(failed) == {"nonsense"} and "x\\|y" in done["markdown"]
-    for scan in (1, 2):
-        sinks.append_history(m.drop("params", "tags"), str(tmp_path / "h"), scan)
-    assert spark.read.parquet(str(tmp_path / "h")).count() == 2
-    assert json.loads(sinks.json_report(m, "a").where("section = 'summary'").first()["line"])["total"] == 1
+    assert sinks.flat(m).where("method = 'GET'").first()["tags"] == "t u"
+    errors = spark.createDataFrame([("https://a.com/e", "waf")], "url string, error string")
+    scan = sinks.Scan(m, "a.com", errors=errors, routes=spark.createDataFrame([("https://a.com/r",), ("https://a.com/q",)], "url string"), values={"page_title": 'T "x"'})
+    done, failed = sinks.write_reports(scan, ["json", "csv", "markdown", "html", "graphml", "text", "nonsense"], str(tmp_path / "r"))
+    assert set(failed) == {"nonsense"} and len(done) == 6
+    text = lambda f: "".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / "r" / f).glob("part-*")))
+    doc = json.loads(text("json"))
+    assert len(doc) == 15 and doc["target"] == "a.com" and doc["page_title"] == 'T "x"' and [r["url"] for r in doc["routes"]] == ["https://a.com/q", "https://a.com/r"]
+    assert {e["url"] for e in doc["endpoints"]} == {r[1] for r in rows} and doc["errors"] == [{"url": "https://a.com/e", "error": "waf"}] and doc["summary"]["total"] == 2
+    assert "x\\|y" in text("markdown") and text("markdown").index("## REST") < text("markdown").index("## Unknown")
+    assert text("csv").startswith("\ufeffmethod,")
+    graph = ElementTree.fromstring(text("graphml"))
+    nodes = {n.get("id"): [d.text for d in n] for n in graph.iter() if n.tag.endswith("}node")}
+    assert nodes == {"https://a.com/x|y": ["endpoint", "REST"], 'https://a.com/"<&': ["endpoint", "Unknown"], "https://a.com/": ["source", None]}
+    assert text("html").count("</script>") == 1 and "GET     https://a.com/x|y  s  H" in text("text")
+    assert [r["line"] for r in sinks.terminal(scan, 1).orderBy("at").collect()][0].startswith("[REST]")
+    for scan_id in (1, 2):
+        sinks.append_history(m.drop("params", "tags"), str(tmp_path / "h"), scan_id)
+    assert spark.read.parquet(str(tmp_path / "h")).count() == 4
+    assert json.loads(sinks.json_report(m, "a").where("section = 'summary'").first()["line"])["total"] == 2
+
+
+def test_merge_of_a_hot_endpoint_holds_no_list_of_its_observations(spark):
+    rows = spark.range(200_000).selectExpr("'GET' method", "'https://a.com/b' url", "false method_observed", "'REST' type", "'s' source", "'u' source_url", "'e' || id evidence", "CASE WHEN id % 2 = 0 THEN 'low' ELSE 'high' END confidence",
+        "CAST(NULL AS INT) status_code", "CAST(NULL AS STRING) content_type", "array('p' || id % 3) params", "array('t') tags", "id seq")
+    m = merge.merge_observations(rows)
+    assert "collect_list" not in m._jdf.queryExecution().toString()
+    g = m.first()
+    assert (g["evidence"], g["confidence"], g["params"], g["n_observations"]) == ("e1", "high", ["p0", "p1", "p2"], 200_000)
+
+
+def test_penalty_blocks_are_the_fold(spark, monkeypatch):
+    monkeypatch.setattr(crawl, "BLOCK", 3)
+    r = random.Random(1)
+    rows = [(f"h{r.randrange(4)}", k, r.choice(["waf", None, "rate_limited", "x", "x", "x"])) for k in range(300)]
+    want = {}
+    for h, _, c in rows:
+        p, n = want.get(h, (0.0, 0))
+        hit = c in ("waf", "rate_limited")
+        want[h] = (min(max(2 * p, 0.5), 6.0) if hit else (0.0 if p / 2 <= 0.1 else p / 2), n + hit)
+    got = crawl.penalties(spark.createDataFrame(rows, "host string, ord long, category string"), 6.0).collect()
+    assert {g["host"]: (g["penalty"], g["refusals"]) for g in got} == want
+
+
+def test_sitemaps_are_followed_one_level_deep(spark):
+    index = "<sitemapindex><sitemap><loc>/s1.xml</loc></sitemap><sitemap><loc>/gone.xml</loc></sitemap></sitemapindex>"
+    one = "<urlset>" + "".join(f"<url><loc>https://a.com/{p}</loc></url>" for p in ("api/x", "about", "login")) + "<sitemap><loc>/s2.xml</loc></sitemap></urlset>"
+    docs = spark.createDataFrame([(1, "https://a.com/sitemap.xml", index), (2, "https://a.com/s1.xml", one), (3, "https://a.com/s2.xml", one)], "artifact_id long, url string, body string")
+    seeds = spark.createDataFrame([("https://a.com/sitemap.xml", 0)], "url string, ord int")
+    got = {(r["source_url"], r["url"], r["type"], r["method"]) for r in crawl.sitemap_pages(seeds, docs).collect()}
+    assert got == {("https://a.com/s1.xml", "https://a.com/api/x", "REST", "GET"), ("https://a.com/s1.xml", "https://a.com/login", "Authentication", "POST")}
+    assert crawl.sitemap_pages(seeds, docs, pages=1).count() == 1
+    assert crawl.sitemap_pages(seeds, docs, rounds=3).count() == 4
+    assert crawl.sitemap_pages(seeds.limit(0), docs).count() == 0
+
+
+def test_absorbed_and_schema_stage(spark):
+    js = 'a = "/docs/swagger.json"; b = "/swagger-ui/index.html"; c = "/arcgis/rest/services/R/MapServer/0"; d = "/geoserver/wfs?service=WFS"; e = "/graphql"; f = "/chunk.1.js"; apiUrl = "https://api.a.com/b"; r = {path: "home"}'
+    arts = spark.createDataFrame([(1, "https://a.com/app.js", "js", "JavaScript", js)], "artifact_id long, url string, kind string, source_kind string, body string")
+    found = crawl.absorbed(extract.analyze(arts), arts, "https://a.com/")
+    by = {}
+    for r in found.collect():
+        by.setdefault(r["bucket"], set()).add(r["url"])
+    assert {"https://a.com/docs/swagger.json", "https://a.com/swagger-ui/index.html"} <= by["schema"] and "https://a.com/arcgis/rest/services/R/MapServer" in by["arcgis"]
+    assert by["base"] == {"https://api.a.com/b"} and by["route"] == {"https://a.com/home"} and "https://a.com/chunk.1.js" in by["asset"] and "https://a.com/graphql" in by["graphql"]
+    captured = spark.createDataFrame(
+        [(11, "https://a.com/swagger-ui/swagger.json", "json", '{"swagger": "2.0", "paths": {"/p": {"get": {}, "post": {}}}}'), (12, "https://a.com/arcgis/rest/services/R/MapServer?f=json", "json", '{"currentVersion": 1, "layers": [{"id": 0}]}'), (13, "https://b.com/swagger.json", "json", '{"swagger": "2.0", "paths": {"/q": {"get": {}}}}')],
+        "artifact_id long, url string, kind string, body string",
+    )
+    rows = crawl.schema_stage(found, captured, "https://a.com/").collect()
+    urls = {r["url"] for r in rows}
+    assert {"https://a.com/p", "https://a.com/arcgis/rest/services/R/MapServer/0/query"} <= urls and not any("b.com" in u for u in urls)
+    assert [r["evidence"] for r in rows if r["type"] == "Swagger/OpenAPI"] == ["OpenAPI document with 2 operations"]
+    few = crawl.absorbed(extract.analyze(arts), arts, "https://a.com/", limits={"schema": 1})
+    count = lambda df, b: df.where(F.col("bucket") == b).count()
+    assert count(few, "schema") == 1 and count(few, "asset") == count(found, "asset")
+
+
+def test_cookie_files(spark):
+    files = [("list", '[{"name": "a", "value": 1, "domain": ".x.com"}, {"name": "a", "value": "2", "domain": "x.com", "secure": true}, {"value": "z"}, 5]'), ("flat", '{"k": "v", "n": 1.5, "o": {}}'), ("tabs", "# c\n#HttpOnly_.x.com\tTRUE\t/p\ttrue\t0\tsid\tabc\nshort\tline\n"), ("bad", "[1"), ("none", None)]
+    got = cookies.read_cookies(spark.createDataFrame(files, "file string, body string"))
+    assert {(r["file"], r["name"], r["value"], r["domain"], r["path"], r["secure"]) for r in got.collect()} == {("list", "a", "1", "x.com", "/", False), ("list", "a", "2", "x.com", "/", True), ("flat", "k", "v", "", "/", False), ("flat", "n", "1.5", "", "/", False), ("tabs", "sid", "abc", "x.com", "/p", True)}
+    given = spark.createDataFrame([("flat", "k", "mine")], "file string, name string, value string")
+    assert {(r["file"], r["name"], r["value"]) for r in cookies.merged(got, given).collect()} == {("list", "a", "2"), ("flat", "k", "mine"), ("flat", "n", "1.5"), ("tabs", "sid", "abc")}
 
 
 def test_stream_matches_batch(spark, tmp_path):
