@@ -39,7 +39,7 @@ def op5_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "text")
 
 
 def op7_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,11 @@ An anchor with more than `WIDE` occurrences, a passage that a great share of all
 documents holds, is not gathered in one task: its different windows are listed by a
 distributed aggregation, and their strings counted by 128-bit hashes.
 
-Copies of a whole text are gathered first and looked at once.
+Copies of a whole text are gathered first and looked at once; a text with very many copies is marked by a bounded broadcast, so
+that its rows aren't brought together.
+
+Two switches by size leave the merge, with the same result: anchors with more than `WIDE` occurrences, as said, and groups of
+more than `FEW` different windows of an anchor, whose strings are counted.
 
 Defined results: a null text is empty; texts shorter than `match` keep every byte; repeated
 rows are documents of their own, so they repeat each other; a null doc_id is kept; an
@@ -36,7 +40,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .anchors import anchors
-from .arrowio import map_rows, utf8_column
+from .arrowio import map_rows
+from .joins import MOST_HOT, left_join_split
 from .suffixes import common_prefix, front_code, merge
 
 MATCH = 400
@@ -87,6 +92,27 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def without(body: bytes, cut: list[tuple[int, int]]) -> bytes:
+    kept, at = [], 0
+    for lo, hi in cut:
+        kept.append(body[at:lo])
+        at = hi
+    kept.append(body[at:])
+    return b"".join(kept)
+
+
+def whole_characters(body: bytes, cut: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans, each grown to the characters of which it holds a byte."""
+    out = []
+    for lo, hi in cut:
+        while lo > 0 and body[lo] & 0xC0 == 0x80:
+            lo -= 1
+        while hi < len(body) and body[hi] & 0xC0 == 0x80:
+            hi += 1
+        out.append((lo, hi))
+    return merge_spans(out)
+
+
 WINDOWS = f"kind string, key binary, starts array<long>, name {NAME}, anchor long, range int, shared array<int>, tails array<binary>, many array<boolean>, window binary, at int"
 _ARROW = pa.schema(
     [("kind", pa.string()), ("key", pa.binary()), ("starts", pa.list_(pa.int64())), ("name", pa.struct([("x", pa.int64()), ("y", pa.int64())])), ("anchor", pa.int64()), ("range", pa.int32())]
@@ -263,8 +289,12 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, gram: int = GRAM, wide:
     # stored, so that both sides of the join are plain shuffles, which can be split where a name is hot
     often = materialize(each.groupBy("name").agg(F.sum("times").alias("n")).where("n > 1"), "often")
     found = each.join(often, "name").groupBy("key").agg(F.collect_set(F.struct("name", "n")).alias("found"))
-    sought = found.join(by_text.select("key", "lead"), "key")
-    bodies = keyed.join(sought, "key").where("doc_id <=> lead").select("key", "body", "found")
+    sought = materialize(found.join(by_text.select("key", "lead", "copies"), "key"), "sought")
+    # of a text with very many copies only the leading row goes into the join
+    rows = named.count()
+    hot = by_text.where(F.col("copies") * MOST_HOT > rows).select("key", F.col("lead").alias("_lead"), F.lit(True).alias("_hot"))
+    leading = keyed.join(F.broadcast(hot), "key", "left").where("_hot is null or doc_id <=> _lead").select("doc_id", "key", "body")
+    bodies = leading.join(sought.hint("merge"), "key").where("doc_id <=> lead").select("key", "body", "found")
     size = by_text.agg(F.sum(F.size("anchors.names"))).first()[0] or 0
     ranges = max(RANGES, -(-size // RANGE_ROWS))
     windows = materialize(_windows(bodies, match, gram, wide, ranges), "windows")
@@ -279,7 +309,8 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, gram: int = GRAM, wide:
 
 
 def remove_repeats(docs: DataFrame, match: int = MATCH, gram: int = GRAM, wide: int = WIDE, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and the columns `carry`, as `rest`, of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), text (those that make whole characters) and the
+    columns `carry`, as `rest`, of every row."""
     keyed, per_text = repeated_spans(docs, match, gram, wide)
     if carry:
         keyed = _keyed(docs, carry)
@@ -289,20 +320,18 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, gram: int = GRAM, wide:
         for doc_id, body, copies, spans in zip(*(batch.column(k).to_pylist() for k in range(4))):
             n = len(body)
             cut = [(0, n)] if n >= match and (copies or 1) > 1 else merge_spans([(s["lo"], s["hi"]) for s in spans or ()])
-            kept, at = [], 0
-            for lo, hi in cut:
-                kept.append(body[at:lo])
-                at = hi
-            kept.append(body[at:])
-            rows.append((doc_id, n, sum(hi - lo for lo, hi in cut), len(cut), b"".join(kept)))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            kept = without(body, cut)
+            text = without(body, whole_characters(body, cut)).decode("utf-8", "replace")
+            rows.append((doc_id, n, sum(hi - lo for lo, hi in cut), len(cut), kept, text))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
         columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
         more = [batch.column(4)] if carry else []
-        return pa.RecordBatch.from_arrays([*columns, *more], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "rest"][: 5 + len(more)])
+        return pa.RecordBatch.from_arrays([*columns, *more], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "text", "rest"][: 6 + len(more)])
 
     columns = ["doc_id", "body", "copies", "spans", *(["rest"] if carry else [])]
-    joined = keyed.join(per_text, "key", "left").select(*columns)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    per_text = materialize(per_text, "per-text")
+    joined = left_join_split(keyed, per_text, ["key"], "copies", keyed.count(), [F.col("doc_id")]).select(*columns)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text string"
     if carry:
         schema += f", rest {keyed.schema['rest'].dataType.simpleString()}"
     return map_rows(joined, one, schema)
