@@ -19,9 +19,9 @@ from ..functions import url as U
 from ..functions.classify import classify, guess_method
 from .extract import ARCGIS_KINDS, ARCGIS_TYPES, ogc_base, ogc_service
 
-FIELDS = "artifact_id long, ord int, source string, candidate string, method string, kind string, evidence string, confidence string, params array<string>, tags array<string>, strip boolean"
+FIELDS = "artifact_id long, source_url string, ord int, source string, candidate string, method string, kind string, evidence string, confidence string, params array<string>, tags array<string>, strip boolean"
 _ARROW = pa.schema(
-    [("artifact_id", pa.int64()), ("ord", pa.int32())]
+    [("artifact_id", pa.int64()), ("source_url", pa.string()), ("ord", pa.int32())]
     + [(n, pa.string()) for n in ("source", "candidate", "method", "kind", "evidence", "confidence")]
     + [("params", pa.list_(pa.string())), ("tags", pa.list_(pa.string())), ("strip", pa.bool_())]
 )
@@ -255,7 +255,7 @@ def candidates(artifacts: DataFrame) -> DataFrame:
                 found = openapi(body or "", url or "") if first else []
                 if not found and kind and not (first and kind == "openapi"):
                     found = _PARSERS[kind](body or "", url or "")
-                rows += [{"artifact_id": key, "ord": k, **r} for k, r in enumerate(found)]
+                rows += [{"artifact_id": key, "source_url": url, "ord": k, **r} for k, r in enumerate(found)]
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     chosen = artifacts.withColumn("_parser", document_kind())
@@ -265,7 +265,7 @@ def candidates(artifacts: DataFrame) -> DataFrame:
 
 def expand(artifacts: DataFrame) -> DataFrame:
     """Observations of all service descriptions, with seq for the merge."""
-    rows = candidates(artifacts).join(artifacts.select("artifact_id", F.col("url").alias("source_url")), "artifact_id")
+    rows = candidates(artifacts)
     text = F.when(F.col("strip"), U.strip_placeholders(F.col("candidate"))).otherwise(F.col("candidate"))
     full = U.absolutize(F.col("source_url"), text)
     full = F.when(F.col("source") == "GetCapabilities", ogc_base(full)).otherwise(full)

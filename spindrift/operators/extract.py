@@ -310,7 +310,7 @@ def spa_routes(artifacts: DataFrame, most: int | None = 120) -> DataFrame:
 
     `most` is the reference's number for one artefact; None gives all.
     """
-    found = rules.side_outputs(artifacts).where("what = 'route'").join(artifacts.select("artifact_id", F.col("url").alias("source_url")), "artifact_id")
+    found = rules.side_outputs(artifacts).where("what = 'route'")
     found = found.where(~F.col("value").rlike("[:.]") & ~F.lower("value").isin(ROUTE_NOISE))
     path = F.concat(F.lit("/"), F.regexp_replace("value", "^/+", ""))
     found = found.select("artifact_id", "ord", U.normalize(F.concat(U.origin(F.col("source_url")), path)).alias("url")).where("url is not null")
@@ -323,7 +323,7 @@ def spa_routes(artifacts: DataFrame, most: int | None = 120) -> DataFrame:
 
 def source_map_references(artifacts: DataFrame) -> DataFrame:
     """artifact_id and map_url: the last source-map reference of each text, made absolute; embedded maps are none."""
-    found = rules.side_outputs(artifacts).where("what = 'sourcemap' and value not like 'data:%'").join(artifacts.select("artifact_id", F.col("url").alias("source_url")), "artifact_id")
+    found = rules.side_outputs(artifacts).where("what = 'sourcemap' and value not like 'data:%'")
     return found.select("artifact_id", U.normalize(U.absolutize(F.col("source_url"), F.col("value"))).alias("map_url")).where("map_url is not null")
 
 

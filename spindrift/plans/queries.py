@@ -12,6 +12,7 @@ from ..functions import url as U
 from ..operators import crawl, detect, documents, extract, html, merge, report, rules, select
 from ..sources import cookies, sinks
 from . import corpora, scan
+from . import fixed as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,7 +59,7 @@ S, A, P, Q = (
 H = f"lower(regexp_extract({A}, '([^@:]*)(?::\\d*)?$', 1))"
 U_CTE = f"WITH u AS ({corpora.URLS}), x AS (SELECT id, url, {S} AS s, {A} AS a, {H} AS h, {P} AS p, {Q} AS q FROM u)"
 PG = f"WITH x AS (SELECT page_id, url, {S} AS s, {A} AS a, {H} AS h, {P} AS p, {Q} AS q FROM pages)"
-SUFFIX_LIST = ", ".join(f"'{s}'" for s in U.SUFFIXES)
+SUFFIX_LIST = ", ".join(f"'{s}'" for s in V.SUFFIXES)
 DOMAIN = f"""CASE WHEN regexp_full_match(h, '[\\d.]+') OR len(string_split(h, '.')) <= 2 THEN h
   WHEN array_to_string(list_slice(string_split(h, '.'), -2, -1), '.') IN ({SUFFIX_LIST}) THEN array_to_string(list_slice(string_split(h, '.'), -3, -1), '.')
   ELSE array_to_string(list_slice(string_split(h, '.'), -2, -1), '.') END"""
@@ -97,15 +98,15 @@ EXT = "lower(regexp_extract(regexp_extract(p, '[^/]*$', 0), '\\.([A-Za-z0-9]{1,1
 
 @query(
     f"""{U_CTE}, e AS (SELECT id, {EXT} AS ext FROM x)
-SELECT id, ext, ext IN ({", ".join(f"'{b}'" for b in U.BINARY)}) AS is_binary, ext IN ({", ".join(f"'{b}'" for b in U.ANALYSABLE)}) AS analysable,
-  ext IN ({", ".join(f"'{b}'" for b in U.PAGES)}) AS page FROM e"""
+SELECT id, ext, ext IN ({", ".join(f"'{b}'" for b in V.BINARY)}) AS is_binary, ext IN ({", ".join(f"'{b}'" for b in V.ANALYSABLE)}) AS analysable,
+  ext IN ({", ".join(f"'{b}'" for b in V.PAGES)}) AS page FROM e"""
 )
 def u09_u11_extension(spark, d):
     u = F.col("url")
     return urls(spark, d).select("id", U.extension(u).alias("ext"), U.is_binary(u).alias("is_binary"), U.is_analysable(u).alias("analysable"), U.is_html_like(u).alias("page"))
 
 
-@query(f"{U_CTE} SELECT id, {any_sql('lower(p)', U.INFRASTRUCTURE)} AS infrastructure FROM x")
+@query(f"{U_CTE} SELECT id, {any_sql('lower(p)', V.INFRASTRUCTURE)} AS infrastructure FROM x")
 def u10_infrastructure(spark, d):
     return urls(spark, d).select("id", U.is_infrastructure(F.col("url")).alias("infrastructure"))
 
@@ -179,17 +180,17 @@ def u01_u02_clean_candidate(spark, d):
 W = "CASE WHEN q = '' THEN lower(p) ELSE lower(p) || '?' || lower(q) END"
 SEG = lambda names: "regexp_matches(lower(p), '(^|/)(" + "|".join(names) + ")([/?]|$)')"
 STAT = "regexp_matches(lower(p), '\\.(json|geojson|topojson|xml|csv|yaml|yml)$')"
-RESTY = f"({any_sql('w', C.REST)} OR regexp_matches(lower(p), '/api(s|v\\d{{1,2}}|_v\\d{{1,2}}|\\d{{1,2}})?(/|\\?|$)') OR regexp_matches(lower(p), '/v[1-9]\\d?(/|$)'))"
-KIND = f"""CASE WHEN s IN ('ws', 'wss') THEN 'WebSocket' WHEN {any_sql("w", C.SWAGGER)} THEN 'Swagger/OpenAPI' WHEN {any_sql("lower(p)", C.GRAPHQL)} THEN 'GraphQL'
-  WHEN contains(lower(p), '/imageserver') THEN 'Image Service' WHEN contains(lower(p), '/vectortileserver') THEN 'Tile Server' WHEN {any_sql("lower(p)", C.ARCGIS)} THEN 'ArcGIS REST'
+RESTY = f"({any_sql('w', V.REST)} OR regexp_matches(lower(p), '/api(s|v\\d{{1,2}}|_v\\d{{1,2}}|\\d{{1,2}})?(/|\\?|$)') OR regexp_matches(lower(p), '/v[1-9]\\d?(/|$)'))"
+KIND = f"""CASE WHEN s IN ('ws', 'wss') THEN 'WebSocket' WHEN {any_sql("w", V.SWAGGER)} THEN 'Swagger/OpenAPI' WHEN {any_sql("lower(p)", V.GRAPHQL)} THEN 'GraphQL'
+  WHEN contains(lower(p), '/imageserver') THEN 'Image Service' WHEN contains(lower(p), '/vectortileserver') THEN 'Tile Server' WHEN {any_sql("lower(p)", V.ARCGIS)} THEN 'ArcGIS REST'
   WHEN regexp_matches(lower(q), '(^|&)service=wmts(&|$)') THEN 'Tile Server' WHEN regexp_matches(lower(q), '(^|&)service=(wms|wfs|wcs|csw|wps)(&|$)') THEN 'GeoServer'
-  WHEN {any_sql("lower(p)", C.OGC)} THEN CASE WHEN contains(lower(p), 'wmts') THEN 'Tile Server' ELSE 'GeoServer' END WHEN contains(w, 'getcapabilities') THEN 'GeoServer'
-  WHEN {any_sql("w", C.TILES)} THEN 'Tile Server' WHEN {SEG(C.AUTH)} THEN 'Authentication' WHEN contains(w, 'wsdl') THEN 'SOAP' WHEN {SEG(C.STREAMS)} THEN 'Stream/SSE'
+  WHEN {any_sql("lower(p)", V.OGC)} THEN CASE WHEN contains(lower(p), 'wmts') THEN 'Tile Server' ELSE 'GeoServer' END WHEN contains(w, 'getcapabilities') THEN 'GeoServer'
+  WHEN {any_sql("w", V.TILES)} THEN 'Tile Server' WHEN {SEG(V.AUTH)} THEN 'Authentication' WHEN contains(w, 'wsdl') THEN 'SOAP' WHEN {SEG(V.STREAMS)} THEN 'Stream/SSE'
   WHEN {RESTY} THEN CASE WHEN {STAT} AND NOT contains(lower(p), '/api') THEN 'Static JSON' ELSE 'REST' END WHEN {STAT} THEN 'Static JSON' ELSE 'Unknown' END"""
 K_CTE = f"{U_CTE}, y AS (SELECT *, {W} AS w FROM x), k AS (SELECT *, {KIND} AS type FROM y)"
 VERB = f"""CASE WHEN type = 'WebSocket' THEN 'ANY' WHEN type = 'GraphQL' THEN 'POST' WHEN type = 'Authentication' AND {SEG("login token signin sign-in register signup".split())} THEN 'POST'
-  WHEN regexp_extract(rtrim(lower(p), '/'), '[^/]*$', 0) IN ({", ".join(f"'{m}'" for m in C.MUTATING)}) THEN 'POST' ELSE 'GET' END"""
-INTEREST = "CASE type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.INTEREST.items()) + " ELSE 0 END"
+  WHEN regexp_extract(rtrim(lower(p), '/'), '[^/]*$', 0) IN ({", ".join(f"'{m}'" for m in V.MUTATING)}) THEN 'POST' ELSE 'GET' END"""
+INTEREST = "CASE type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in V.INTEREST.items()) + " ELSE 0 END"
 
 
 @query(f"{K_CTE} SELECT id, type, {VERB} AS method, CAST({INTEREST} AS INTEGER) AS interest FROM k")
@@ -729,7 +730,7 @@ def x01_x02_source_maps(spark, d):
     return documents.source_map_files(a).select("artifact_id", "name", "origin").withColumn("artifact_id", F.col("artifact_id").cast("int"))
 
 
-@query(f"{K_CTE} SELECT id AS request_id, {NORM} AS url, type FROM k WHERE s IN ('http', 'https', 'ws', 'wss') AND NOT {any_sql('lower(p)', U.INFRASTRUCTURE)} AND (type <> 'Unknown' OR id % 2 = 0)")
+@query(f"{K_CTE} SELECT id AS request_id, {NORM} AS url, type FROM k WHERE s IN ('http', 'https', 'ws', 'wss') AND NOT {any_sql('lower(p)', V.INFRASTRUCTURE)} AND (type <> 'Unknown' OR id % 2 = 0)")
 def n01_network_log(spark, d):
     log = urls(spark, d).select(F.col("id").alias("request_id"), "url", F.lit("GET").alias("method"), F.when(F.col("id") % 2 == 0, "xhr").otherwise("document").alias("resource_type"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("content_type"))
     return documents.network_endpoints(log).select("request_id", "url", "type")
@@ -740,7 +741,7 @@ def a01_arcgis_service(spark, d):
     return urls(spark, d).select("id", detect.arcgis_service(F.col("url")).alias("s")).where("s is not null").select("id", "s.root", "s.kind")
 
 
-@query(f"{U_CTE} SELECT id, {any_sql('lower(p)', C.GRAPHQL)} AS graphql, {any_sql('lower(url)', C.SWAGGER)} AS swagger FROM x")
+@query(f"{U_CTE} SELECT id, (regexp_matches(rtrim(lower(p), '/'), '(/graphql|/gql)$') OR regexp_matches(lower(p), '/graphiql|/altair|/playground|/voyager')) AS graphql, {any_sql('lower(url)', V.SWAGGER)} AS swagger FROM x")
 def g01_p04_service_documents(spark, d):
     return urls(spark, d).select("id", detect.is_graphql(F.col("url")).alias("graphql"), detect.looks_like_swagger(F.col("url")).alias("swagger"))
 
