@@ -130,6 +130,10 @@ def _lookup(value: Column, table: dict[str, int], default: int) -> Column:
     return out
 
 
+def is_documentation(kind: Column) -> Column:
+    return kind == "Swagger/OpenAPI"
+
+
 def interest(kind: Column) -> Column:
     return _lookup(kind, INTEREST, 0)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import url as U
-from ..operators import crawl, detect, documents, extract, html, merge, report, rules, select
+from ..operators import captures, crawl, detect, documents, extract, html, merge, report, rules, select
 from ..sources import cookies, sinks
 from . import corpora, scan
 from . import fixed as V
@@ -871,3 +871,59 @@ def x02_e16_embedded_texts(spark, d):
     found = scan.observations(p, a).where("(source = 'SourceMap' and confidence = 'high') or url like 'https://api%/api/blob'")
     origin = F.coalesce(F.get(F.filter("tags", lambda t: t.startswith("origin:")), F.lit(0)), F.lit(""))
     return found.select("seq", "url", origin.alias("origin")).dropDuplicates(["url", "origin", "seq"]).groupBy("url", "origin").agg(F.countDistinct(F.struct("seq.stage", "seq.artifact")).alias("n"))
+
+
+@query(
+    f"""{K_CTE}, w AS (SELECT {NORM} AS url, type, method, id, s, url AS raw FROM (SELECT *, {VERB} AS method FROM k))
+SELECT id AS capture_id, url, 'ANY' AS method, 'WebSocket' AS type, 'WebSocketFrame' AS source, 'high' AS confidence FROM w WHERE s IN ('ws', 'wss')
+UNION ALL SELECT id, 'https://www.example.com/sw' || (id % 7) || '.js', 'GET', 'Unknown', 'ServiceWorker', 'high' FROM w
+UNION ALL SELECT id, url, 'GET', type, 'JavaScript', 'low' FROM w WHERE regexp_matches(raw, '^https?://') AND type <> 'Unknown'"""
+)
+def n02_e10_captures(spark, d):
+    u = urls(spark, d)
+    worker = F.concat(F.lit("https://www.example.com/sw"), (F.col("id") % 7).cast("string"), F.lit(".js"))
+    stored = F.concat(F.lit('{"a": "'), "url", F.lit('", "b": ["'), "url", F.lit('"]}'))
+    c = u.select(F.col("id").alias("capture_id"), F.lit("https://www.example.com/").alias("page_url"), F.array("url").alias("sockets"), F.array(worker).alias("workers"), F.array(stored).alias("storage"), F.lit(None).cast("string").alias("html"))
+    return captures.observations(c).select(F.col("seq.artifact").alias("capture_id"), "url", "method", "type", "source", "confidence")
+
+
+@query(f"{ANCHORS}, e AS (SELECT DISTINCT url, h, p FROM anchors) SELECT DISTINCT url FROM e WHERE {EXT} IN ('', 'html', 'htm', 'php', 'asp', 'aspx', 'jsp', 'do', 'action') AND {DOMAIN} = 'example.com'")
+def n02_rendered_routes(spark, d):
+    p = pages(spark, d).select(F.col("page_id").alias("capture_id"), F.col("url").alias("page_url"), "html")
+    return captures.rendered_routes(p, "https://www.example.com/")
+
+
+@query(f"{ANCHORS} SELECT page_id, url, CAST(min(k) + 2 AS INTEGER) AS ord FROM anchors GROUP BY ALL")
+def h13_all_resources(spark, d):
+    return html.all_resources(html.resources(pages(spark, d))).select("page_id", "url", "ord")
+
+
+@query(f"{K_CTE} SELECT id, type = 'Swagger/OpenAPI' AS documented FROM k")
+def c04_is_documentation(spark, d):
+    return urls(spark, d).select("id", C.is_documentation(C.classify(F.col("url"))).alias("documented"))
+
+
+@query(
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(least(event_id % 50, 30) AS DOUBLE) ELSE least(pow(2.0, event_id % 6) + (event_id % 5) / 10.0, 15.0) END AS delay FROM events"""
+)
+def t02_retry_delay(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    k = F.col("event_id")
+    asked = F.when(k % 4 == 0, (k % 50).cast("string")).when(k % 4 == 1, "Wed, 21 Oct")
+    return e.select("event_id", crawl.retry_delay(k % 6, asked, (k % 5) / F.lit(10.0)).alias("delay"))
+
+
+@query("SELECT 'https://www.example.com/c' || n_nationkey || '-' || i || '.js' AS url FROM nation, range(5) t(i)")
+def s11_t05_asset_rounds(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("i"))
+    name = lambda i: F.concat(F.lit("https://www.example.com/c"), F.col("k").cast("string"), F.lit("-"), i.cast("string"), F.lit(".js"))
+    a = n.select((F.col("k") * 10 + F.col("i")).alias("artifact_id"), name(F.col("i")).alias("url"), F.lit("js").alias("kind"), F.lit("JavaScript").alias("source_kind"), F.concat(F.lit('import("'), name(F.col("i") + 1), F.lit('")')).alias("body"))
+    start = n.where("i = 0").select(name(F.col("i")).alias("url"))
+    return crawl.asset_rounds(start, a, "https://www.example.com/", 4, None)
+
+
+@query("SELECT 'https://n' || n_nationkey || '.example.com/app.js.map' AS url, 'src/a.js' AS name FROM nation WHERE n_nationkey < 6")
+def t06_source_map_batches(spark, d):
+    a = described(spark, d, F.lit('{"sources": ["src/a.js"], "sourcesContent": ["x"]}'), "app.js.map").withColumn("kind", F.lit("map"))
+    maps = a.select("url", F.col("artifact_id").alias("ord"))
+    return crawl.source_map_batches(maps, a, 2, 3).select("url", "name")

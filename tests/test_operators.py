@@ -6,7 +6,7 @@ from xml.etree import ElementTree
 
 from pyspark.sql import functions as F
 
-from spindrift.operators import crawl, documents, extract, html, merge, rules, select
+from spindrift.operators import captures, crawl, documents, extract, html, merge, rules, select
 from spindrift.plans import scan
 from spindrift.sources import cookies, sinks
 
@@ -141,6 +141,21 @@ def test_scan_reads_data_files_operations_and_traffic(spark):
     assert scan.scan(pages, arts, spark.createDataFrame([], "url string"), log, responses, captures).where("url like '%/zz'").count() == 1
 
 
+def test_scan_reads_captures_and_embedded_json(spark):
+    blob = '<script type="application/json">{"u": "https://api.a.com/api/blob"}</script>'
+    pages = spark.createDataFrame([(1, "https://a.com/", blob), (2, "https://a.com/2", None)], "page_id long, url string, html string")
+    arts = spark.createDataFrame([(1, "https://a.com/m.js.map", "map", "SourceMap", '{"sources": ["s/one.js", "s/two.js"], "sourcesContent": ["fetch(\\"/api/one\\")", "fetch(\\"/api/two\\")"]}')], "artifact_id long, url string, kind string, source_kind string, body string")
+    dom = '<form action="/api/late"></form><a href="/seen">x</a><a href="https://b.com/other">y</a><script>fetch("/api/inline")</script>'
+    browser = spark.createDataFrame([(9, "https://a.com/", ["wss://a.com/live", "https://a.com/none"], ["https://a.com/sw.js"], ["x https://api.a.com/api/stored https://a.com/plain"], dom), (10, "https://a.com/e", None, None, None, None)], "capture_id long, page_url string, sockets array<string>, workers array<string>, storage array<string>, html string")
+    rows = scan.observations(pages, arts, browser=browser).collect()
+    got = {(r["method"], r["url"]): r for r in rows}
+    assert {("ANY", "wss://a.com/live"), ("GET", "https://a.com/sw.js"), ("GET", "https://api.a.com/api/stored"), ("GET", "https://a.com/api/late"), ("GET", "https://a.com/api/inline"), ("GET", "https://api.a.com/api/blob")} <= set(got)
+    assert ("GET", "https://a.com/plain") not in got and got[("GET", "https://api.a.com/api/stored")]["confidence"] == "low"
+    assert "origin:one.js" in got[("GET", "https://a.com/api/one")]["tags"] and "origin:two.js" in got[("GET", "https://a.com/api/two")]["tags"]
+    assert [r["url"] for r in captures.rendered_routes(browser, "https://a.com/").collect()] == ["https://a.com/seen"]
+    assert len({str(r["seq"]) for r in rows if r["seq"]["stage"] != 6}) == sum(r["seq"]["stage"] != 6 for r in rows)
+
+
 def test_crawl_is_bounded(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "e"), ("e", "a")], "page_url string, url string")
     captured = spark.createDataFrame([("a",), ("b",), ("c",)], "url string")
