@@ -1,8 +1,9 @@
 """Toxicity scores from a learned lexicon, misspellings, and the context of each hit.
 
-1. A bounded sample of labelled documents (at most about `FIT_EACH` of either label, none of the
-   held-out fold, none over `FIT_CHARS` characters) gives the lexicon: words and word beginnings that
-   many toxic and hardly any other documents hold. A beginning that goes on in many ways is a stem.
+1. A bounded sample of labelled documents (about `FIT_EACH` of either label drawn by the hash of their ids, at most
+   `8 * FIT_EACH` rows, one to an id, none of the held-out fold, whole texts of any length) gives the lexicon: words and word
+   beginnings that many toxic and hardly any other documents hold. A beginning that goes on in many ways is a stem. Only the
+   different words of the sample's texts, and later their features, come to the driver.
 2. Every word of every text goes through the trie of the lexicon intersected with
    Levenshtein automata (fuzzy.py), which finds the terms, short ones too, and what is one edit away
    from them, but for words that the other documents of the sample hold (`oron` is no misspelled `moron`),
@@ -16,28 +17,31 @@
 
 Defined results: null and empty texts have no hits and get the score of no hits; a null doc_id counts
 as held out; of several labels of a document the largest counts, null labels none; without labels of both
-kinds every score is 0; repeated rows are scored each; further columns are ignored.
+kinds every score is 0; repeated rows are scored each, and of labelled rows that share an id the text with the smallest hash is
+fitted; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .arrowio import map_rows
 from .fuzzy import FuzzyTrie
 
 FIT_EACH = 2500
-FIT_CHARS = 60_000
 LEAST_DOCS = 3
 LEAST_SHARE = 0.02  # of the toxic documents, for a term to be taken for itself
 LEAST_NEW = 0.01  # of the toxic documents, if no other term is in them
 LEAST_LIFT = 25.0
+CHANCE = 0.1
 MOST_TERMS = 512
 STEM_FROM, STEM_TO = 4, 8
 CONTEXT = 12
@@ -51,14 +55,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def _forms(text: str) -> set[str]:
+def _forms(words: frozenset[str]) -> set[str]:
     """Different words of a text, and their beginnings with a dash after them."""
-    words = set(_WORD.findall(text.lower()))
     return words | {w[:k] + "-" for w in words for k in range(STEM_FROM, min(len(w), STEM_TO) + 1)}
 
 
-def learn_lexicon(toxic: list[str], other: list[str]) -> dict[str, bool]:
-    """Terms and whether they are stems, best first, at most MOST_TERMS."""
+Words = list[frozenset[str]]
+
+
+def words_of(text: str) -> frozenset[str]:
+    return frozenset(_WORD.findall(text.lower()))
+
+
+def learn_lexicon(toxic: Words, other: Words) -> dict[str, bool]:
+    """Terms and whether they are stems, best first, at most MOST_TERMS; from the different words of each text.
+
+    Copies count once. Of the many forms tried, those that few texts hold are toxic by chance now and then: a form needs a
+    share of toxic holders that `CHANCE` forms or fewer would reach if toxic texts were drawn at random.
+    """
+    toxic, other = list(dict.fromkeys(toxic)), list(dict.fromkeys(other))
     seen: Counter[str] = Counter()
     for t in toxic:
         seen.update(_forms(t))
@@ -68,7 +83,9 @@ def learn_lexicon(toxic: list[str], other: list[str]) -> dict[str, bool]:
     for t in other:
         elsewhere.update(f for f in _forms(t) if f in seen)
     lift = lambda f: (seen[f] / len(toxic)) / ((elsewhere[f] + 0.25) / len(other))
-    good = {f for f in seen if lift(f) >= LEAST_LIFT}
+    rate = len(toxic) / (len(toxic) + len(other))
+    chance = lambda f: len(seen) * comb(seen[f] + elsewhere[f], seen[f]) * rate ** seen[f]
+    good = {f for f in seen if lift(f) >= LEAST_LIFT and chance(f) <= CHANCE}
     holders: dict[str, set[int]] = {f: set() for f in good}
     for k, t in enumerate(toxic):
         for f in good & _forms(t):
@@ -109,17 +126,17 @@ class Scorer:
                     self._clean.add(w)
                 else:
                     self._hits[w] = found
+        hits = {w: self._hits[w] for w in words if w in self._hits}
         if len(self._clean) > KNOWN_WORDS:
             self._clean.clear()
         if len(self._hits) > KNOWN_WORDS:
             self._hits.clear()
-            return self.features(text)
-        if not any(w in self._hits for w in words):
+        if not hits:
             return [0.0] * FEATURES
         counts = np.zeros((2, 2))
         tokens = list(_WORD.finditer(low))
         for k, m in enumerate(tokens):
-            hit = self._hits.get(m.group())
+            hit = hits.get(m.group())
             if hit is not None:
                 begin = tokens[max(0, k - CONTEXT)].start()
                 end = tokens[min(len(tokens) - 1, k + CONTEXT)].end()
@@ -161,44 +178,61 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[FuzzyTrie, np.ndarray] | No
         return None
     draw = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30))
     limit = F.when(F.col("toxic"), F.lit(int(min(1, FIT_EACH / sizes[True]) * (1 << 30)))).otherwise(F.lit(int(min(1, FIT_EACH / sizes[False]) * (1 << 30))))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= FIT_CHARS)
     # broadcast: about 2 * FIT_EACH rows, and never more than four times that
     sample = known.where(draw < limit).limit(8 * FIT_EACH)
-    drawn = texts.join(F.broadcast(sample), "doc_id").toArrow().to_pylist()
-    drawn.sort(key=lambda r: (r["doc_id"], r["text"]))
-    toxic, other = ([r["text"] for r in drawn if r["toxic"] is flag] for flag in (True, False))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    one = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
+    # each text is in the half of its id, of which the other half's words judge the near forms
+    drawn = materialize(one.withColumn("half", F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(2)).cast("int")), "sample")
+
+    def different(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = pa.array([sorted(words_of(t)) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([batch.column(0), words, batch.column(2), batch.column(3)], names=["doc_id", "words", "toxic", "half"])
+
+    rows = map_rows(drawn, different, "doc_id long, words array<string>, toxic boolean, half int").toArrow().to_pylist()
+    rows.sort(key=lambda r: r["doc_id"])
+    toxic = [frozenset(r["words"]) for r in rows if r["toxic"]]
+    halves = [[frozenset(r["words"]) for r in rows if not r["toxic"] and r["half"] == k] for k in (0, 1)]
+    other = halves[0] + halves[1]
     if not toxic or not other:
         return None
     terms = learn_lexicon(toxic, other)
-    seen = [near_words(terms, toxic, other[k::2]) for k in (0, 1)]
+    seen = [near_words(terms, toxic, half) for half in halves]
     never = near_words(terms, toxic, other)
-    exact = exact_only(terms, seen, toxic, other)
-    halves = [Scorer(FuzzyTrie(terms, never=seen[1 - k], exact=exact)) for k in (0, 1)]
-    whole = Scorer(FuzzyTrie(terms, never=never, exact=exact))
-    x = [whole.features(t) for t in toxic] + [halves[k % 2].features(t) for k, t in enumerate(other)]
-    y = np.r_[np.ones(len(toxic)), np.zeros(len(other))]
+    exact = exact_only(terms, seen, toxic, halves)
+
+    def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        by_half = [Scorer(FuzzyTrie(terms, never=seen[1 - k], exact=exact)) for k in (0, 1)]
+        whole = Scorer(FuzzyTrie(terms, never=never, exact=exact))
+        pick = lambda flag, half: whole if flag else by_half[half]
+        x = [pick(flag, half).features(t) for t, flag, half in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64())), batch.column(2)], names=["doc_id", "x", "toxic"])
+
+    rows = map_rows(drawn, counted, "doc_id long, x array<double>, toxic boolean").toArrow().to_pylist()
+    rows.sort(key=lambda r: r["doc_id"])
+    x, y = [r["x"] for r in rows], np.asarray([float(r["toxic"]) for r in rows])
     misspelled = [(as_near(f), flag) for f, flag in zip(x, y) if f[0] or f[3]]
     x, y = np.asarray(x + [f for f, _ in misspelled]), np.r_[y, [flag for _, flag in misspelled]]
     return FuzzyTrie(terms, never=never, exact=exact), _logistic(x, y)
 
 
-def near_words(terms: dict[str, bool], toxic: list[str], other: list[str]) -> frozenset[str]:
+def near_words(terms: dict[str, bool], toxic: Words, other: Words) -> frozenset[str]:
     """Near forms that other documents hold, unless far more of the toxic ones do."""
     trie = FuzzyTrie(terms)
-    words = lambda texts: Counter(w for t in texts for w in set(_WORD.findall(t.lower())))
-    here, there = words(toxic), words(other)
+    here, there = (Counter(w for t in texts for w in t) for texts in (toxic, other))
     rare = lambda w: here[w] / len(toxic) < LEAST_LIFT * there[w] / len(other)
     return frozenset(w for w in there if (hit := trie.find(w)) is not None and hit[0] == FuzzyTrie.NEAR and rare(w))
 
 
-def exact_only(terms: dict[str, bool], seen: list[frozenset[str]], toxic: list[str], other: list[str]) -> frozenset[str]:
+def exact_only(terms: dict[str, bool], seen: list[frozenset[str]], toxic: Words, halves: list[Words]) -> frozenset[str]:
     """Terms whose new near forms are so common in other documents that they lack a term's lift."""
     tries = [FuzzyTrie(terms, never=seen[1 - k]) for k in (0, 1)]
     plain = FuzzyTrie(terms)
-    hits = lambda trie, t, kind: {hit[1] for w in set(_WORD.findall(t.lower())) if (hit := trie.find(w)) is not None and hit[0] == kind}
-    new = Counter(term for k, t in enumerate(other) for term in hits(tries[k % 2], t, FuzzyTrie.NEAR))
+    hits = lambda trie, t, kind: {hit[1] for w in t if (hit := trie.find(w)) is not None and hit[0] == kind}
+    new = Counter(term for trie, half in zip(tries, halves) for t in half for term in hits(trie, t, FuzzyTrie.NEAR))
     held = Counter(term for t in toxic for term in hits(plain, t, FuzzyTrie.EXACT))
-    return frozenset(t for t in terms if held[t] / len(toxic) < LEAST_LIFT * new[t] / len(other))
+    others = len(halves[0]) + len(halves[1])
+    return frozenset(t for t in terms if held[t] / len(toxic) < LEAST_LIFT * new[t] / others)
 
 
 def as_near(features: list[float]) -> list[float]:
