@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release
 
 ROUNDS = 60  # far beyond the logarithmic need; reached only by a fault
 
@@ -41,5 +41,6 @@ def star_forest(edges: DataFrame) -> DataFrame:
         if not mark["n"] or (mark["n"], mark["h"]) == seen:
             return now
         seen = (mark["n"], mark["h"])
-        now = materialize(_small_star(_large_star(now)), "edges")
+        last, now = now, materialize(_small_star(_large_star(now)), "edges")
+        release(last)  # the new table needs nothing of it
     raise RuntimeError("components did not settle")

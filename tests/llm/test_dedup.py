@@ -104,7 +104,9 @@ def plain_shingles(text):
     return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_keep_one_each_by_brute_force(spark):
+@pytest.mark.parametrize("most", [8192, 3])
+def test_keep_one_each_by_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(copies, "MOST_SETS", most)
     r = random.Random(12)
     vocab = [f"w{k}" for k in range(400)]
     texts = [None, "", " \n", "A b", "a B", "É a B c é"]
@@ -125,8 +127,8 @@ def test_keep_one_each_by_brute_force(spark):
         if doc is not None:
             least[x] = min(doc, least.get(x, doc))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((x[0], x[1]) for x in copies.near_copies(docs).collect() if x[0] is not None) == sorted((doc, least[x]) for (doc, _), x in zip(rows, root) if doc is not None)
-    assert sorted(x["doc_id"] for x in simhash.keep_one_each(docs).collect()) == sorted(set(least.values()))
+    assert sorted((x[0], x[1]) for x in copies.near_copies(docs).select("doc_id", "component_id").collect() if x[0] is not None) == sorted((doc, least[x]) for (doc, _), x in zip(rows, root) if doc is not None)
+    assert sorted(x["doc_id"] for x in simhash.keep_one_each(docs).collect()) == sorted(least[x] for x in set(root) if x in least)
     assert simhash.keep_one_each(docs.limit(0)).count() == 0
 
 
