@@ -17,6 +17,9 @@
 Everything is DataFrame expressions. Shards keep each window within a bounded share of the
 rows, however large a source is.
 
+One task sees all sources in two windows: a row a source, and no frame but running sums. Another sees one source's shards:
+at most `SHARDS` rows, whatever share of the documents is in it.
+
 Defined results: a null text has size 0 and takes nothing; null sources are one source, the last;
 equal rows are mixed each; rows with a null doc_id are kept; an empty table gives an empty result;
 further columns are ignored. Reruns agree, whatever the partitioning.
@@ -38,10 +41,17 @@ SEED = 42
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _size() -> Column:
+    return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _name() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size: the number of words of the text."""
-    words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"))
+    """doc_id, source, size (the number of words of the text) and name (a hash of it)."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size().alias("size"), _name().alias("name"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -58,8 +68,8 @@ def targets(sizes: DataFrame) -> DataFrame:
     )
     full = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     before = full.rowsBetween(Window.unboundedPreceding, -1)
-    after = full.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    tried = weighed.select("*", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0))).alias("_left"), F.sum("weight").over(after).alias("_weights"))
+    earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    tried = weighed.select("*", (F.col("total") - earlier("cap")).alias("_left"), (F.sum("weight").over(everything) - earlier("weight")).alias("_weights"))
     # sources are full up to the first whose cap the level doesn't reach
     stops = F.col("cap") * F.col("_weights") >= F.col("_left") * F.col("weight")
     level = F.min(F.when(stops, F.struct((F.col("cap") / F.col("weight")).alias("at"), F.col("source").isNull().alias("last"), "source", "_left", "_weights"))).over(everything)
@@ -94,12 +104,12 @@ def _order(*columns: Column) -> Column:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of every row of `docs`."""
+    """doc_id, source, size, source_size, target, taken and name (a hash of the text) of every row of `docs`."""
     return mix_sizes(materialize(sized(docs), "sizes"))
 
 
 def mix_sizes(sizes: DataFrame) -> DataFrame:
-    """As mix, from doc_id, source and size. `sizes` must be a stored table: it is read more than once."""
+    """As mix, from doc_id, source, size and name. `sizes` must be a stored table: it is read more than once."""
     block = F.greatest(F.lit(1), F.floor(F.col("total") / BLOCKS))
     goals = targets(sizes).withColumn("block", block).withColumn("_blocks", F.floor(F.col("total") / F.col("block")))
     shard_size = F.greatest(F.lit(1), F.least(F.lit(SHARD_MOST), F.floor(F.col("total") / SHARDS)))
@@ -111,34 +121,42 @@ def mix_sizes(sizes: DataFrame) -> DataFrame:
     # one row a source; joined by name, with null as a name of its own
     named = lambda c: F.struct(F.col(c).isNull().alias("none"), F.coalesce(c, F.lit("")).alias("name"))
     dealt = sizes.withColumn("_s", named("source")).join(quotas.withColumn("_s", named("source")).drop("source"), "_s")
-    dealt = dealt.withColumn("_shard", F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id", "size"), F.col("_shards")))
+    dealt = dealt.withColumn("_shard", F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id", "name"), F.col("_shards")))
     shards = dealt.groupBy("_s", "_shard").agg(F.sum("size").alias("_shard_size"), F.first("_source_quota").alias("_source_quota"), F.first("block").alias("block"))
     shards = apportion(shards, ["_s"], ["_shard"], "_shard_size", "_source_quota")
     tokens = F.least(F.col("quota") * F.col("block"), MOST_EPOCHS * F.col("_shard_size"))
     shards = shards.select("_s", "_shard", "_shard_size", tokens.alias("_tokens"))
 
-    seeded = Window.partitionBy("_s", "_shard").orderBy(_order(F.col("doc_id")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    seeded = Window.partitionBy("_s", "_shard").orderBy(_order(F.col("doc_id"), F.col("name")), "doc_id", "name").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("_before", F.coalesce(F.sum("size").over(seeded), F.lit(0))).join(shards, ["_s", "_shard"])
     rounds = F.when(F.col("_shard_size") > 0, F.floor(F.col("_tokens") / F.greatest(F.col("_shard_size"), F.lit(1)))).otherwise(0)
     rest = F.col("_tokens") - rounds * F.col("_shard_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (rounds * F.col("size") + part).cast("long").alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", (rounds * F.col("size") + part).cast("long").alias("taken"), "name")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of `docs`: a document as often as its taken words fill it,
-    and once more cut after the words that are left. Rows that share doc_id and source take the most of them."""
-    named = {"__doc": "doc_id", "__source": "source"}
-    taken = mix(docs).where("taken > 0").groupBy("doc_id", "source").agg(F.max("taken").alias("__taken"), F.max("size").alias("__size"))
-    taken = materialize(taken, "taken").select(*[F.col(v).alias(k) for k, v in named.items()], "__taken", "__size")
-    same = docs["doc_id"].cast("long").eqNullSafe(taken["__doc"]) & docs["source"].cast("string").eqNullSafe(taken["__source"])
-    rounds = F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")))
+    and once more cut after the words that are left. Rows alike in doc_id, source and text stand for each other, and take in
+    any order what the mix gives them together."""
+    taken = mix(docs).where("taken > 0").groupBy("doc_id", "source", "name", "size").agg(F.sum("taken").alias("_sum"))
+    taken = materialize(taken, "taken").select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("name").alias("_of"), "size", "_sum")
+    # the rows themselves travel as one column, so that none of theirs can clash
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    named = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("src"), _name().alias("name"), row.alias("row"))
+    # one row of those that are alike is taken for all of them; only tables that hold such rows pay for finding it
+    alike = named.groupBy("id", "src", "name").agg(F.count("*").alias("n")).where("n > 1")
+    if not alike.isEmpty():
+        named = named.groupBy("id", "src", "name").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    rounds = F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_sum") / F.col("size")))
+    same = F.col("id").eqNullSafe(F.col("_doc")) & F.col("src").eqNullSafe(F.col("_source")) & (F.col("name") == F.col("_of"))
     # taken grows with the corpus: one plan at every size, and never a broadcast
-    each = docs.join(taken.hint("merge"), same).withColumn("__left", F.explode(F.transform(rounds, lambda k: F.least(F.col("__size"), F.col("__taken") - (k - 1) * F.col("__size")))))
-    cut = F.col("__left") < F.col("__size")
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    text = F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("__left").cast("int")), "")).otherwise(F.col("text"))
-    out = each.withColumn("text", text)
+    each = named.join(taken.hint("merge"), same).withColumn("words", F.explode(F.transform(rounds, lambda k: F.least(F.col("size"), F.col("_sum") - (k - 1) * F.col("size")))))
+    cut = F.col("words") < F.col("size")
+    held = F.regexp_extract_all(F.col("row.text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    text = F.when(cut, F.array_join(F.slice(held, F.lit(1), F.col("words").cast("int")), "")).otherwise(F.col("row.text"))
+    each = each.select("row", cut.alias("cut"), text.alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return each.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
