@@ -229,14 +229,14 @@ def test_sitemaps_are_followed_one_level_deep(spark):
 
 
 def test_absorbed_and_schema_stage(spark):
-    js = 'a = "/docs/swagger.json"; b = "/swagger-ui/index.html"; c = "/arcgis/rest/services/R/MapServer/0"; d = "/geoserver/wfs?service=WFS"; e = "/graphql"; f = "/chunk.1.js"; apiUrl = "https://api.a.com/b"; r = {path: "home"}'
+    js = 'a = "/docs/swagger.json"; b = "/swagger-ui/index.html"; c = "/arcgis/rest/services/R/MapServer/0"; d = "/geoserver/wfs?service=WFS"; e = "/graphql"; f = "/api/chunk.1.js"; apiUrl = "https://api.a.com/b"; r = {path: "home"}'
     arts = spark.createDataFrame([(1, "https://a.com/app.js", "js", "JavaScript", js)], "artifact_id long, url string, kind string, source_kind string, body string")
     found = crawl.absorbed(extract.analyze(arts), arts, "https://a.com/")
     by = {}
     for r in found.collect():
         by.setdefault(r["bucket"], set()).add(r["url"])
     assert {"https://a.com/docs/swagger.json", "https://a.com/swagger-ui/index.html"} <= by["schema"] and "https://a.com/arcgis/rest/services/R/MapServer" in by["arcgis"]
-    assert by["base"] == {"https://api.a.com/b"} and by["route"] == {"https://a.com/home"} and "https://a.com/chunk.1.js" in by["asset"] and "https://a.com/graphql" in by["graphql"]
+    assert by["base"] == {"https://api.a.com/b"} and by["route"] == {"https://a.com/home"} and "https://a.com/api/chunk.1.js" in by["asset"] and "https://a.com/graphql" in by["graphql"]
     captured = spark.createDataFrame(
         [(11, "https://a.com/swagger-ui/swagger.json", "json", '{"swagger": "2.0", "paths": {"/p": {"get": {}, "post": {}}}}'), (12, "https://a.com/arcgis/rest/services/R/MapServer?f=json", "json", '{"currentVersion": 1, "layers": [{"id": 0}]}'), (13, "https://b.com/swagger.json", "json", '{"swagger": "2.0", "paths": {"/q": {"get": {}}}}')],
         "artifact_id long, url string, kind string, body string",
