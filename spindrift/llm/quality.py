@@ -3,14 +3,14 @@
 Words are `[^\\x20\\x09-\\x0D]+` of the whole text. A document fails the base rules if
 it has fewer than `MIN_WORDS` words or if more than `MAX_REPEAT_PERCENT` % of its words lie in
 5-word windows that occur twice or more. What passes is kept if the trees give it at
-least `KEEP_FROM`. The trees are fitted on at most `FIT_ROWS` labelled documents (those
-whose id has the smallest hashes); statistics and verdicts cover all documents. The
+least `KEEP_FROM`. The trees are fitted on about `FIT_ROWS` labelled documents drawn by the hash of
+their ids, and never on more than twice as many: one row stands for all that share an id. Statistics and verdicts cover all documents. The
 score can't rise with the share of symbols, of repeated words or of repeated lines.
 
 Defined results: a null or empty text has no words, so it fails; a null or unmatched
 label takes no part in fitting, of several labels of a document the smallest counts;
-without labels the base rules alone decide; repeated rows are judged each; further
-columns are left alone.
+without labels the base rules alone decide; repeated rows are judged each, and of labelled rows
+that share an id the one whose counts have the smallest hash is fitted; further columns are left alone.
 """
 
 from __future__ import annotations
@@ -87,7 +87,9 @@ def sampled_labels(labels: DataFrame) -> DataFrame:
 
 def fit_model(stats: DataFrame, labels: DataFrame) -> boosting.Forest | None:
     """Fit on a bounded sample of labelled rows; None without labels of both kinds."""
-    found = stats.join(sampled_labels(labels), "doc_id").toPandas().sort_values(["doc_id", *COUNTS])
+    one = F.min_by(F.struct(*COUNTS), F.xxhash64(*COUNTS)).alias("c")  # so that ids given often don't pass the bound
+    found = stats.join(sampled_labels(labels), "doc_id").groupBy("doc_id").agg(one, F.min("_quality").alias("_quality"))
+    found = found.select("doc_id", "c.*", "_quality").toPandas().sort_values("doc_id")
     if found["_quality"].nunique() < 2:
         return None
     x = features({k: found[k].to_numpy() for k in COUNTS})
