@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -67,17 +68,16 @@ _HOSTS = frozenset(NOISE_HOSTS)
 GENERAL, CONCATENATED, FETCHED, OPENED, SOCKETS, SERVICES, OPERATIONS, EMBEDDED = range(8)
 
 
+@lru_cache(T.REMEMBERED)
+def _noisy_address(url: str) -> bool:
+    path = T.split(url)[2]
+    low = path.lower()
+    return T.host_of(url) in _HOSTS or bool(_PARTS.search(path)) or any(m in low for m in U.INFRASTRUCTURE) or ("?" not in url and T.extension(path) in U.BINARY)
+
+
 def noisy(url: str, evidence: str) -> bool:
     """is_noise for one string."""
-    _, _, path, _ = T.split(url)
-    low = path.lower()
-    return (
-        T.host_of(url) in _HOSTS
-        or bool(_PARTS.search(path))
-        or any(m in low for m in U.INFRASTRUCTURE)
-        or ("?" not in url and T.extension(path) in U.BINARY)
-        or ("/api" not in url.lower() and bool(_TOLD.search(evidence)))
-    )
+    return _noisy_address(url) or ("/api" not in url.lower() and bool(_TOLD.search(evidence)))
 
 
 def bases_of(found: list[tuple]) -> list[str]:
@@ -97,15 +97,14 @@ class _Text:
     def __init__(self, key: int, url: str, kind: str, text: str, stage: int = 2, part: int | None = None, origin: str | None = None):
         self.key, self.url, self.kind, self.text = key, url, kind, text
         self.stage, self.part, self.origin = stage, part, origin
-        self.rows: list[dict] = []
+        self.rows: list[list] = []  # OBSERVED as far as it isn't empty for all, then seq after its artifact
         self.found, self.variables = rules.scan_text(text), rules.scan_variables(text)
         self.bases = bases_of(self.found)
 
     def say(self, extractor: int, order: int, base: int, url: str, kind: str, method: str, observed: bool, confidence: str, evidence: str, tags: list[str], params: list[str] = []) -> None:  # noqa: B006
-        seq = {"stage": self.stage, "artifact": self.key, "extractor": extractor if self.part is None else EMBEDDED + self.part, "ord": order, "base": base}
         tags = sorted([*tags, self.origin]) if self.origin else tags
-        row = {"method": method, "url": url, "method_observed": observed, "type": kind, "source": self.kind, "source_url": self.url, "evidence": evidence, "confidence": confidence, "params": params, "tags": tags}
-        self.rows.append(row | {"seq": seq})
+        place = (extractor if self.part is None else EMBEDDED + self.part, order, base)
+        self.rows.append([method, url, observed, kind, evidence, confidence, params, tags, place])
 
     def resolved(self, own: str | None, path: str, bases: list[str]) -> Iterator[tuple[int, str]]:
         """Normal forms of what a candidate means here and on the bases, by their places."""
@@ -158,21 +157,15 @@ class _Text:
     def derived(self) -> str | None:
         """Services: a row for the root of each ArcGIS or OGC service, and schemas and GraphQL under their types. Gives the first GraphQL address."""
         graphql = None
-        for k, row in enumerate(sorted(self.rows, key=lambda r: tuple(r["seq"].values()))):
-            url = row["url"]
-            if (at := arcgis_root(url)) is not None:
-                root, kind, tag = at[0], ARCGIS_TYPES.get(at[1], "ArcGIS REST"), f"arcgis:{at[1]}"
-            elif (service := ogc_kind(url)) is not None:
-                root, kind, tag = ogc_root(url), "Tile Server" if service == "WMTS" else "GeoServer", f"ogc:{service.lower()}"
-            else:
-                if any(m in url.lower() for m in SWAGGER):
-                    row["type"] = "Swagger/OpenAPI"
-                elif names_graphql(url):
-                    row["type"] = "GraphQL"
-                    graphql = graphql or url
-                continue
-            if (norm := T.normalize(root)) is not None:
-                self.say(SERVICES, k, 0, norm, kind, "GET", False, "high", row["evidence"], [tag])
+        for k, row in enumerate(sorted(self.rows, key=lambda r: r[-1])):
+            what, root, kind, tag = service_of(row[1])
+            if what == "service":
+                if root is not None:
+                    self.say(SERVICES, k, 0, root, kind, "GET", False, "high", row[4], [tag])
+            elif what:
+                row[3] = what
+                if what == "GraphQL":
+                    graphql = graphql or row[1]
         return graphql
 
     def operated(self, known: str | None, most: int | None) -> None:
@@ -186,6 +179,34 @@ class _Text:
             self.say(OPERATIONS, 0, 0, norm, "GraphQL", "GET" if console else "POST", False, "high", f"{len(ops)} GraphQL operations", tags, names)
 
 
+@lru_cache(T.REMEMBERED)
+def service_of(url: str) -> tuple[str | None, str | None, str | None, str | None]:
+    """("service", its root in normal form, type, tag) of an address inside a service; (type, None, None, None) of a schema or of GraphQL."""
+    if (at := arcgis_root(url)) is not None:
+        return "service", T.normalize(at[0]), ARCGIS_TYPES.get(at[1], "ArcGIS REST"), f"arcgis:{at[1]}"
+    if (service := ogc_kind(url)) is not None:
+        return "service", T.normalize(ogc_root(url)), "Tile Server" if service == "WMTS" else "GeoServer", f"ogc:{service.lower()}"
+    if any(m in url.lower() for m in SWAGGER):
+        return "Swagger/OpenAPI", None, None, None
+    return "GraphQL" if names_graphql(url) else None, None, None, None
+
+
+def _batch(texts: list[_Text]) -> pa.RecordBatch:
+    """Observations of texts as one batch, column by column."""
+    many = [len(t.rows) for t in texts]
+    rows = [r for t in texts for r in t.rows]
+    method, url, observed, kind, evidence, confidence, params, tags, place = zip(*rows) if rows else [()] * 9
+    extractor, order, base = zip(*place) if place else [()] * 3
+    each = lambda values, t: pa.array([v for v, n in zip(values, many) for _ in range(n)], t)
+    seq = [each((t.stage for t in texts), pa.int32()), each((t.key for t in texts), pa.int64()), *(pa.array(v, pa.int32()) for v in (extractor, order, base))]
+    text, names = pa.string(), pa.list_(pa.string())
+    columns = [
+        pa.array(method, text), pa.array(url, text), pa.array(observed, pa.bool_()), pa.array(kind, text), each((t.kind for t in texts), text), each((t.url for t in texts), text), pa.array(evidence, text), pa.array(confidence, text),
+        pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), text), pa.array(params, names), pa.array(tags, names), pa.StructArray.from_arrays(seq, fields=list(_SEQ)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
+
+
 def arcgis_root(url: str) -> tuple[str, str] | None:
     """Root and kind of an ArcGIS service's address."""
     m = _ARCGIS.match(url)
@@ -229,7 +250,7 @@ def analyze(artifacts: DataFrame, most_operations: int | None = 60) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            rows: list[dict] = []
+            done: list[_Text] = []
             for key, url, kind, text, stage, part, origin in zip(*(c.to_pylist() for c in batch.columns)):
                 if not text or url is None:
                     continue
@@ -239,11 +260,12 @@ def analyze(artifacts: DataFrame, most_operations: int | None = 60) -> DataFrame
                     t.concatenated()
                     t.called()
                     t.operated(t.derived(), most_operations)
-                rows += t.rows
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-                    rows = []
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                t.text, t.found, t.variables = "", [], []
+                done.append(t)
+                if len(done) >= 500:
+                    yield _batch(done)
+                    done = []
+            yield _batch(done)
 
     optional = {"stage": F.lit(2), "part": F.lit(None), "origin": F.lit(None)}
     more = [(F.col(c) if c in artifacts.columns else missing).cast("string" if c == "origin" else "int").alias(c) for c, missing in optional.items()]

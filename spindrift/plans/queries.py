@@ -42,7 +42,8 @@ def observed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scripts(spark: SparkSession, d: str) -> DataFrame:
-    return corpora.frame(spark, d, corpora.SCRIPTS)
+    # the table is one small file; scripts are dealt over all cores
+    return corpora.frame(spark, d, corpora.SCRIPTS).repartition(spark.sparkContext.defaultParallelism)
 
 
 def any_sql(value: str, markers: list[str]) -> str:
