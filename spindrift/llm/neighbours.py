@@ -5,16 +5,19 @@ sample at the median of the projection on the difference of two random members,
 `LEAF` sample rows. The forest is bounded by the sample and goes to the executors.
 
 Index: every different vector is routed to its leaf in every tree. Equal vectors are one entry that keeps
-its smallest ids, which is all that a list of the nearest can show.
+its smallest ids, which is all that a list of the nearest can show. Leaves in a row of one tree form a
+block, and a block's entries are dealt by hash over as many cells as keep a cell at about `CELL_ROWS` entries, so that a task
+holds the entries of a cell whatever their number; each entry is stored once to a tree.
 
 Search: a query descends all trees through one shared priority queue. A node's priority
 is the sum of squared distances to the planes crossed on the way to it, so the leaf that is
 nearest next, of whatever tree, is opened next, until the leaves opened hold the search budget:
 a share of all entries, found on the sample as the least that gives `AIM` recall against
-brute force there.
+brute force there. That share, over all trees, is the number of distances a query costs, divided by the number of entries.
 
-Rerank: leaves and the queries that opened them are joined; candidates are ranked by the exact
-distance in double precision, ties to smaller ids.
+Rerank: a query goes once to each cell of a block in which it opened leaves, with their list. The queries of a cell, however
+many, stream past its entries in batches of `BATCH`, and each is compared with the entries of its leaves only; what may
+be among the nearest is ranked by the exact distance in double precision, ties to smaller ids.
 
 Measure: Euclidean distance. Vectors that are null, zero, of another dimension than
 most, or hold null or non-finite components take no part, nor do rows without an id; repeated rows
@@ -24,6 +27,7 @@ count once; an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,14 +38,15 @@ from pyspark.sql.window import Window
 
 from ..session import materialize
 
-TREES = 8
+TREES = 16
 SAMPLE = 16_384
-LEAF = 128
-AIM = 0.96
-SHARES = tuple(2 ** (k / 2) for k in range(-16, 7))  # budgets tried, as shares of all entries
+LEAF = 8
+AIM = 0.93
 TRIALS = 128
-BLOCK = 4096
-QUERY_CHUNK = 50_000
+ROWS = 4096  # entries routed at a time
+BLOCK_LEAVES = 256
+CELL_ROWS = 50_000
+BATCH = 256  # queries compared with a cell at a time
 SEED = 5
 
 
@@ -56,7 +61,15 @@ class Trees:
     right: np.ndarray
     leaf: np.ndarray
     held: np.ndarray  # sample rows by leaf
-    share: float  # search budget
+    share: float  # search budget: entries looked at, repeats of several trees included, over all entries
+
+    def blocks(self) -> np.ndarray:
+        """The block of each leaf: up to BLOCK_LEAVES in a row, and none of two trees."""
+        nodes = np.flatnonzero(self.leaf >= 0)
+        tree = np.empty(len(self.held), np.int64)
+        tree[self.leaf[nodes]] = np.searchsorted(self.roots, nodes, "right") - 1
+        within = np.arange(len(tree)) - np.searchsorted(tree, tree)
+        return np.unique(np.stack([tree, within // BLOCK_LEAVES], 1), axis=0, return_inverse=True)[1].reshape(-1).astype(np.int32)
 
     def route(self, x: np.ndarray) -> np.ndarray:
         """Leaf numbers, a column to each tree."""
@@ -73,20 +86,27 @@ class Trees:
             out[:, t] = self.leaf[node]
         return out
 
-    def open_leaves(self, margins: np.ndarray, share: float | None = None) -> list[int]:
-        """Leaves that one query opens; margins: its signed distance to every node's plane."""
-        budget = (self.share if share is None else share) * self.held.sum() / len(self.roots)
+    def opened(self, margins: np.ndarray) -> Iterator[int]:
+        """All leaves in the order in which one query opens them; margins: its signed distance to every node's plane."""
         queue = [(0.0, int(r)) for r in self.roots]
-        found, had = [], 0
-        while queue and had < budget:
+        while queue:
             p, node = heapq.heappop(queue)
             while self.leaf[node] < 0:
                 m = margins[node]
                 near, far = (self.right[node], self.left[node]) if m >= 0 else (self.left[node], self.right[node])
                 heapq.heappush(queue, (p + m * m, int(far)))
                 node = near
-            found.append(int(self.leaf[node]))
-            had += int(self.held[found[-1]])
+            yield int(self.leaf[node])
+
+    def open_leaves(self, margins: np.ndarray, share: float | None = None) -> list[int]:
+        """The leaves that a query opens within the budget."""
+        budget = (self.share if share is None else share) * self.held.sum() / len(self.roots)  # held: once to a tree
+        found, had = [], 0
+        for leaf in self.opened(margins):
+            if had >= budget:
+                break
+            found.append(leaf)
+            had += int(self.held[leaf])
         return found
 
 
@@ -118,8 +138,9 @@ def grow(x: np.ndarray, trees: int, leaf: int, seed: int) -> Trees:
                 held.append(len(rows))
             else:
                 todo += [(halves[0], k, 0), (halves[1], k, 1)]
-    arrays = (np.asarray(a) for a in (roots, normal, offset, left, right, number, held))
-    return Trees(*arrays, share=1.0)
+    arrays = [np.asarray(a) for a in (roots, normal, offset, left, right, number, held)]
+    arrays[1] = arrays[1].astype(np.float32)  # half the broadcast; entries and queries go by the same planes
+    return Trees(*arrays, share=float(trees))
 
 
 def fit(x: np.ndarray, k: int, trees: int = TREES, leaf: int = LEAF, aim: float = AIM, seed: int = SEED) -> Trees:
@@ -137,17 +158,20 @@ def fit(x: np.ndarray, k: int, trees: int = TREES, leaf: int = LEAF, aim: float
         d = squares - 2 * (x @ x[q])
         d[q] = np.inf
         near.append(np.argpartition(d, k)[:k])
-    for share in SHARES:
-        hits = 0
-        for m, truth in zip(margins, near):
-            opened = np.zeros(len(forest.held), bool)
-            opened[forest.open_leaves(m, share * trees)] = True
-            hits += opened[placed[truth]].any(axis=1).sum()
-        if hits >= aim * k * len(trial):
-            forest.share = share * trees
-            break
-    else:
-        forest.share = float(trees)
+    # the budget at which each true neighbour's first leaf is opened; the one that `aim` of them need is it
+    needed = []
+    for m, truth in zip(margins, near):
+        left = {int(leaf): k for k, t in enumerate(truth) for leaf in placed[t]}
+        reached: dict[int, int] = {}
+        had = 0
+        for leaf in forest.opened(m):
+            if (k := left.get(leaf)) is not None:
+                reached.setdefault(k, had)
+                if len(reached) == len(truth):
+                    break
+            had += int(forest.held[leaf])
+        needed += reached.values()
+    forest.share = (sorted(needed)[int(np.ceil(aim * len(needed))) - 1] + 1) * trees / forest.held.sum()
     return forest
 
 
@@ -215,49 +239,53 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, trees: int = TREES,
     part = min(1.0, sample / total["n"])
     drawn = entries.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) < int(part * (1 << 30))).select("vec").toArrow()
     forest = fit(_unpacked(sorted(drawn.column(0).to_pylist()), dim), k, trees, leaf, aim)
-    chunks = -(-total["q"] // QUERY_CHUNK)
+    block_of = forest.blocks()
+    deal = max(1, -(-total["n"] * trees // ((int(block_of.max()) + 1) * CELL_ROWS)))
 
     def index(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                b = batch.slice(at, BLOCK)
-                leaves = forest.route(_unpacked(b.column(0).to_pylist(), dim))
-                pick = pa.array(np.repeat(np.arange(b.num_rows), leaves.shape[1]))
-                for chunk in range(chunks):
-                    yield _joined(leaves.ravel(), chunk, 1, b, pick)
+            for at in range(0, batch.num_rows, ROWS):
+                b = batch.slice(at, ROWS)
+                leaves = forest.route(_unpacked(b.column(0).to_pylist(), dim)).ravel()
+                cell = np.asarray([int.from_bytes(n[:4], "big") % deal for n in b.column(2).to_pylist()], np.int32)
+                pick = np.repeat(np.arange(b.num_rows), trees)
+                yield _side(block_of[leaves], cell[pick], 0, leaves, [None] * len(pick), b, pick)
 
     def ask(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 b = batch.slice(at, 64)
                 margins = _unpacked(b.column(0).to_pylist(), dim) @ forest.normal.T - forest.offset
-                opened = [forest.open_leaves(m) for m in margins]
-                chunk = [int.from_bytes(n[:4], "big") % chunks for n in b.column(2).to_pylist()]
-                sizes = [len(o) for o in opened]
-                yield _joined(np.concatenate([np.asarray(o, np.int32) for o in opened]), np.repeat(chunk, sizes), 0, b, pa.array(np.repeat(np.arange(b.num_rows), sizes)))
-
-    side = "leaf int, chunk int, kind int, vec binary, ids array<long>, name binary"
+                block, opened, pick = [], [], []
+                for q, m in enumerate(margins):
+                    leaves = np.sort(np.asarray(forest.open_leaves(m), np.int32))
+                    for part in np.split(leaves, np.flatnonzero(np.diff(block_of[leaves])) + 1):
+                        block.append(block_of[part[0]]), opened.append(part), pick.append(q)
+                n = len(block)
+                for c in range(deal):
+                    yield _side(block, np.full(n, c, np.int32), 1, np.full(n, -1, np.int32), opened, b, np.asarray(pick))
+
+    side = "block int, cell int, kind int, leaf int, opened array<int>, vec binary, ids array<long>, name binary"
     listed = entries.select("vec", "ids", "name")
     both = listed.mapInArrow(index, side).unionByName(entries.where("is_query").select("vec", "ids", "name").mapInArrow(ask, side))
 
     def rank(batches):
-        group, query, names = None, None, []
+        where, held, cell = None, [], None
         for batch in batches:
-            leaf_of, chunk_of, kind = (np.asarray(batch.column(c)) for c in range(3))
-            cuts = np.flatnonzero(np.r_[True, (leaf_of[1:] != leaf_of[:-1]) | (chunk_of[1:] != chunk_of[:-1]) | (kind[1:] != kind[:-1])])
-            for s, e in zip(cuts, np.r_[cuts[1:], len(leaf_of)]):
+            key = np.stack([np.asarray(batch.column(c)) for c in range(3)], 1)
+            cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+            for s, e in zip(cuts, np.r_[cuts[1:], len(key)]):
                 b = batch.slice(int(s), int(e - s))
-                x = _unpacked(b.column(3).to_pylist(), dim)
-                here = (leaf_of[s], chunk_of[s])
-                if here != group:
-                    group, query, names = here, None, []
-                if kind[s] == 0:
-                    query = x if query is None else np.concatenate([query, x])
-                    names += b.column(5).to_pylist()
-                elif query is not None:
-                    yield _candidates(query, names, x, b, keep)
-
-    ranked = both.repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk", "kind").mapInArrow(rank, "q binary, v binary, score double, ids array<long>")
+                if where != (here := tuple(key[s][:2])):
+                    where, held, cell = here, [], None
+                if key[s][2] == 0:
+                    held.append(b)
+                elif held:
+                    cell = cell or Cell(held, dim)
+                    for at in range(0, b.num_rows, BATCH):
+                        yield cell.nearest(b.slice(at, BATCH), keep)
+
+    ranked = both.repartition("block", "cell").sortWithinPartitions("block", "cell", "kind", "leaf").mapInArrow(rank, "q binary, v binary, score double, ids array<long>")
     once = ranked.groupBy("q", "v").agg(F.first("score").alias("score"), F.first("ids").alias("ids"))
     best = Window.partitionBy("q").orderBy("score", F.element_at("ids", 1))
     listed = once.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= keep).select(F.col("q").alias("name"), "score", F.explode("ids").alias("vec_id"))
@@ -267,18 +295,51 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, trees: int = TREES,
     return own.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _joined(leaves, chunk, kind: int, b: pa.RecordBatch, pick: pa.Array) -> pa.RecordBatch:
-    n = len(pick)
-    fixed = lambda v: pa.array(np.broadcast_to(np.asarray(v, np.int32), n).copy())
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(leaves, np.int32)), fixed(chunk), fixed(kind), *(b.column(c).take(pick) for c in range(3))], names=["leaf", "chunk", "kind", "vec", "ids", "name"])
-
-
-def _candidates(query: np.ndarray, names: list[bytes], x: np.ndarray, b: pa.RecordBatch, keep: int) -> pa.RecordBatch:
-    """Of one leaf's entries, those that may be among the `keep` nearest of each query, with exact distances."""
-    rough = np.einsum("ij,ij->i", x, x)[None, :] - 2 * (query @ x.T)
-    most = np.partition(rough, min(keep, len(x)) - 1, axis=1)[:, min(keep, len(x)) - 1]
-    slack = 1e-9 * (1 + np.abs(most) + np.einsum("ij,ij->i", query, query))
-    qs, vs = np.nonzero(rough <= (most + slack)[:, None])
-    score = np.sqrt(((query[qs] - x[vs]) ** 2).sum(axis=1))
-    pick = pa.array(vs)
-    return pa.RecordBatch.from_arrays([pa.array([names[q] for q in qs], pa.binary()), b.column(5).take(pick), pa.array(score), b.column(4).take(pick)], names=["q", "v", "score", "ids"])
+def _side(block, cell, kind: int, leaf, opened: list, b: pa.RecordBatch, pick: np.ndarray) -> pa.RecordBatch:
+    ints = lambda v: pa.array(np.asarray(v, np.int32))
+    columns = [ints(block), ints(cell), ints(np.full(len(pick), kind)), ints(leaf), pa.array(opened, pa.list_(pa.int32())), *(b.column(c).take(pa.array(pick)) for c in range(3))]
+    return pa.RecordBatch.from_arrays(columns, names=["block", "cell", "kind", "leaf", "opened", "vec", "ids", "name"])
+
+
+class Cell:
+    """The entries of a cell, sorted by leaf."""
+
+    def __init__(self, batches: list[pa.RecordBatch], dim: int):
+        table = pa.Table.from_batches(batches).combine_chunks()
+        leaf = table.column(3).to_numpy()
+        self.dim = dim
+        self.x = _unpacked(table.column(5).to_pylist(), dim)
+        self.squares = np.einsum("ij,ij->i", self.x, self.x)
+        self.ids, self.names = table.column(6), table.column(7)
+        first = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
+        self.span = dict(zip(leaf[first].tolist(), zip(first.tolist(), [*first[1:].tolist(), len(leaf)])))
+
+    def nearest(self, queries: pa.RecordBatch, keep: int) -> pa.RecordBatch:
+        """Of the entries in the leaves each query opened here, those that may be among its `keep` nearest, with exact distances."""
+        q = _unpacked(queries.column(5).to_pylist(), self.dim)
+        by_leaf: dict[int, list[int]] = {}
+        for k, leaves in enumerate(queries.column(4).to_pylist()):
+            for leaf in leaves:
+                if leaf in self.span:
+                    by_leaf.setdefault(leaf, []).append(k)
+        rough: list[list[np.ndarray]] = [[] for _ in range(len(q))]
+        rows: list[list[np.ndarray]] = [[] for _ in range(len(q))]
+        for leaf, who in by_leaf.items():
+            s, e = self.span[leaf]
+            d = self.squares[s:e] - 2 * (q[who] @ self.x[s:e].T)
+            at = np.arange(s, e)
+            for k, row in zip(who, d):
+                rough[k].append(row)
+                rows[k].append(at)
+        qs, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(len(q)):
+            if rough[k]:
+                d, at = np.concatenate(rough[k]), np.concatenate(rows[k])
+                most = np.partition(d, min(keep, len(d)) - 1)[min(keep, len(d)) - 1]
+                near = at[d <= most + 1e-9 * (1 + abs(most) + q[k] @ q[k])]
+                qs.append(np.full(len(near), k)), vs.append(near)
+        qs, vs = np.concatenate(qs), np.concatenate(vs)
+        score = np.sqrt(((q[qs] - self.x[vs]) ** 2).sum(axis=1))
+        pick = pa.array(vs)
+        one = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+        return pa.RecordBatch.from_arrays([queries.column(7).take(pa.array(qs)), one(self.names.take(pick)), pa.array(score), one(self.ids.take(pick))], names=["q", "v", "score", "ids"])
