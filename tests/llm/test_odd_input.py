@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spindrift import session
 from spindrift.llm import chats, joins, lengths, mixing, neighbours, quality, repeats, simhash, tokens, toxicity, warc
 
 VOCAB = [f"{a}{b}{c}{d}" for a in "bdfgkl" for b in "aeiou" for c in "lmnrst" for d in "aeiou"]
@@ -137,6 +138,30 @@ def test_repeated_labelled_ids_stay_within_the_bound(spark, monkeypatch):
     assert seen == [20]
 
 
+def test_toxicity_sample_is_few_files(spark, monkeypatch):
+    files = []
+
+    def stored(df, label):
+        out = session.materialize(df, label)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(toxicity, "materialize", stored)
+    docs = spark.createDataFrame([(k, "plain words " + "".join(chr(97 + int(c)) for c in str(k)) + " grobian" * (k % 4 == 0)) for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(200)], "doc_id long, toxic int")
+    conf = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = toxicity.scored(docs, labels).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) == 1 and files[0] <= toxicity.FIT_TASKS
+    assert [g["doc_id"] for g in got if g["predicted"]] == list(range(0, 200, 4))
+
+
 def test_toxicity_of_many_hits_and_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "KNOWN_WORDS", 5)
     r = random.Random(6)
