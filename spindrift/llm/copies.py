@@ -1,9 +1,10 @@
 """Near copies by shared shingles: Jaccard of at least 0.8 over different 5-word shingles, checked exactly.
 
-Copies this near differ in up to a dozen bits of a 64-bit SimHash, too many for a range join, so candidates
-come from `BANDS` bands of `ROWS` minima each (min-hash): a pair at 0.8 shares no band once in
-40,000 times, and a nearer pair less often. Only different shingle sets are banded, so copies cost nothing.
-Sets that share a band form a bucket; buckets of the same sets are one. The shingles of all sets in
+Candidates come two ways. Each different set has a SimHash of its shingles, and the popcount grid range join of simhash.py
+links those within 2 bits; sets that such links connect form a bucket. Copies at 0.8 differ in up to a dozen bits, too many for
+a range join, so that the rest comes from `BANDS` bands of `ROWS` minima each (min-hash): a pair at 0.8 shares no band once in
+40,000 times, and a nearer pair less often; sets that share a band form a bucket too. Only different shingle sets are joined and
+banded, so copies cost nothing, and buckets of the same sets are one. The shingles of all sets in
 buckets are read again from the texts, and each bucket is searched breadth first: a set reached
 is compared with all sets not reached yet, so its components come out exactly without storing all pairs.
 A bucket of more than `MOST_SETS` different sets is cut by hash in blocks of about that many, and every two blocks meet in a task of
@@ -68,22 +69,31 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return [h(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))]
 
 
+def set_print(hashes: np.ndarray) -> int:
+    """The SimHash of a set of shingles: a bit is 1 if set in over half the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        ones += np.unpackbits(hashes[at : at + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def _longs(values) -> pa.Array:
     return pa.array(np.asarray(values, np.uint64).view(np.int64))
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, name (a hash of the text), fp (the name of its shingle set) and bands of every row."""
+    """doc_id, name (a hash of the text), fp (the name of its shingle set), its SimHash and its bands, of every row."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(b or b"") for b in batch.column(2).to_pylist()]
         keys = [band_keys(s) for s in sets]
         ends = np.cumsum([0, *map(len, keys)])
         bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _longs([k for ks in keys for k in ks]))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _longs([set_name(s) for s in sets]), bands], names=["doc_id", "name", "fp", "bands"])
+        simhash = _longs([set_print(s) for s in sets])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _longs([set_name(s) for s in sets]), simhash, bands], names=["doc_id", "name", "fp", "simhash", "bands"])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_name().alias("name"), utf8_column("text"))
-    return map_rows(given, one, "doc_id long, name long, fp long, bands array<long>")
+    return map_rows(given, one, "doc_id long, name long, fp long, simhash long, bands array<long>")
 
 
 def text_name():
@@ -91,8 +101,25 @@ def text_name():
     return F.xxhash64(F.col("text").cast("string"))
 
 
+def by_popcounts(leads: DataFrame) -> DataFrame:
+    """key and fp of every set that isn't empty: sets have one key if links of fingerprints within 2 bits connect them."""
+    from .simhash import links as within_bits
+
+    each = leads.where(F.size("bands") > 0).select("fp", "simhash")
+    prints = materialize(each.groupBy("simhash").agg(F.count("*").alias("sets")), "set-prints")
+    stars = star_forest(within_bits(prints.select(F.col("simhash").alias("fp"))))
+    rooted = prints.join(stars.select(F.col("a").alias("simhash"), F.col("b").alias("root")), "simhash", "left")
+    rooted = materialize(rooted.select("simhash", "sets", F.xxhash64(F.lit("popcounts"), F.coalesce("root", "simhash")).alias("key")), "print-roots")
+    return left_join_split(each, rooted, ["simhash"], "sets", each.count(), [F.col("fp")]).select("key", "fp")
+
+
+def by_bands(leads: DataFrame) -> DataFrame:
+    """key and fp of every set in each of its bands."""
+    return leads.select(F.explode("bands").alias("key"), "fp")
+
+
 def _buckets(leads: DataFrame) -> DataFrame:
-    """bucket and fp of sets that share a band with another."""
+    """bucket and fp of sets that share a key with another."""
 
     def gather(batches):
         from xxhash import xxh64_intdigest as h
@@ -118,7 +145,7 @@ def _buckets(leads: DataFrame) -> DataFrame:
         if len(key):
             yield found(key, fp)
 
-    each = leads.select(F.explode("bands").alias("key"), "fp")
+    each = by_popcounts(leads).unionByName(by_bands(leads))
     return each.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(gather, "bucket long, fp long").distinct()
 
 
@@ -199,7 +226,7 @@ def links(docs: DataFrame, leads: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, name (a hash of the text), component_id, the smallest id of its near copies, and root, the component's own name, of every row."""
     each = materialize(prints(docs), "prints")
-    leads = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("lead"), F.first("bands").alias("bands"), F.count("*").alias("rows")), "sets")
+    leads = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("lead"), F.first("simhash").alias("simhash"), F.first("bands").alias("bands"), F.count("*").alias("rows")), "sets")
     stars = star_forest(links(docs, leads))
     rooted = leads.join(stars.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", "lead", "rows", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("lead").alias("component_id"))

@@ -132,6 +132,24 @@ def test_keep_one_each_by_brute_force(spark, monkeypatch, most):
     assert simhash.keep_one_each(docs.limit(0)).count() == 0
 
 
+def test_near_copies_go_through_the_popcount_join(spark, monkeypatch):
+    r = random.Random(3)
+    vocab = [f"w{k}" for k in range(3000)]
+    texts = ["", None, "A b c d e f"]
+    for _ in range(20):
+        base = [r.choice(vocab) for _ in range(900)]
+        texts += [" ".join(base), " ".join([*base, "end"]), " ".join([base[0].upper(), *base[1:]])]
+    prints = [copies.set_print(copies.shingle_set((t or "").encode())) for t in texts]
+    sets = [plain_shingles(t) for t in texts]
+    assert prints[2] == simhash.fingerprint(texts[2].encode(), 5)  # no shingle twice: the same bits
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if sets[a] == sets[b] or ((prints[a] ^ prints[b]).bit_count() <= 2 and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))]
+    root = roots(len(texts), near)
+    assert len({root[k] for k in range(3, 63)}) < 30  # not all go by equal sets
+    monkeypatch.setattr(copies, "by_bands", lambda leads: leads.selectExpr("fp as key", "fp").limit(0))
+    got = copies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == {k: root.index(root[k]) for k in range(len(texts))}
+
+
 def test_linked_by_brute_force():
     r = random.Random(2)
     for _ in range(40):
