@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spindrift.llm import anchors, copies, repeats, simhash, suffixes
+from spindrift.llm import anchors, copies, registry, repeats, simhash, suffixes
 from spindrift.llm.components import star_forest
 
 
@@ -220,5 +220,23 @@ def test_repeats_by_brute_force(spark, monkeypatch, wide, few):
     assert got == dict(enumerate(brute(texts, 40)))
 
 
+def test_query_removes_from_400_bytes_on(spark, tmp_path):
+    r = random.Random(4)
+    words = lambda n: " ".join("".join(r.choice("abcdefghijklmnopé") for _ in range(r.randint(2, 7))) for _ in range(n))
+    passages = []
+    for n in (320, 399, 400, 401):
+        p = words(90).encode()[:n].decode("utf-8", "ignore")
+        p += "z" * (n - len(p.encode()))  # a character may have been cut
+        assert len(p.split()) > 50
+        passages.append(p)
+    # between marks, as equal bytes beside a passage would make it longer
+    texts = [f"{words(60)}{'([{<'[place]}{p}{')]}>'[place]}{words(60)}" for p in passages for place in range(3)] + [passages[2] + words(3), words(300), None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x[0]: x for x in registry.op6_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert {k: tuple(x)[1:5] for k, x in got.items()} == dict(enumerate(brute(texts, 400)))
+    for k, p in enumerate(passages):
+        assert all((p in got[3 * k + place]["text"]) == (len(p.encode()) < 400) for place in range(3))
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
